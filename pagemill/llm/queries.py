@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import encoding, leakage, splitting
+from pagemill.llm import boilerplate, encoding, leakage, splitting
 from pagemill.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.found_lines(table(spark, d, "docs"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.remove_lines(table(spark, d, "docs").select("doc_key", "issuer", "content")).select("doc_key", "content", "n_removed")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "docs"), table(spark, d, "split_profiles"))
 
@@ -32,7 +40,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m
