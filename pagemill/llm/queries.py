@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import boilerplate, encoding, leakage, splitting
+from pagemill.llm import boilerplate, encoding, leakage, pairs, splitting
 from pagemill.session import table
 
 
@@ -26,6 +26,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("doc_key", "piece_no", "n_pieces", "piece_start", "piece_end", "content", "metadata.page_num", "metadata.title", "metadata.profile")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found_defects(table(spark, d, "run_states"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -40,7 +44,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m
