@@ -1,12 +1,12 @@
 """Defective prompt and response pairs, each with its type of defect.
 
-empty      one of the answer's fields says nothing: null, no letter or digit, or a label with nothing behind it
+empty      one of the answer's fields says nothing at all: null, or no letter or digit
 refusal    the first sentence aligns with a refusal template (longest common subsequence of the template's tokens)
 copy       the answer's shingles are contained in the question and their longest common subsequence covers most of it
 language   script or function words are of another language than the question's; quoted titles are left out
-truncated  a field ends before its statement does: it ends in the middle of the value that the other field gives in
-           full, in a dangling word or an open quotation, or, without a full stop, in words with which no sentence of
-           the corpus ends
+truncated  a field ends before its statement does: behind its label, in the middle of the value that the other field
+           gives in full, in a dangling word or an open quotation, or, without a full stop, in words with which no
+           sentence of the corpus ends
 
 The first that holds, in this order, is the row's defect. Only the last needs the corpus: the words at sentence ends
 are counted once per worker and joined to the open ends by key.
@@ -124,12 +124,13 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 
 def is_empty(text: str | None) -> bool:
-    """Nothing at all is said; a label without anything behind its colon says nothing."""
-    if text is None or not _SAYS.search(text):
-        return True
-    if text.rstrip()[-1:] == ":":
-        return text.count(":") == 1 and len(text) <= 80 and not re.search(r"[.!?]\s", text)
-    return False
+    """Nothing at all is said: no letter or digit."""
+    return text is None or not _SAYS.search(text)
+
+
+def is_bare_label(text: str) -> bool:
+    """A formatted answer that stops behind its label."""
+    return text.rstrip()[-1:] == ":" and text.count(":") == 1 and len(text) <= 80 and not re.search(r"[.!?]\s", text)
 
 
 @lru_cache(maxsize=50_000)
@@ -271,7 +272,7 @@ def _corrected(question: str | None, text: str | None) -> str | None:
         return "copy"
     if is_foreign(question, text):
         return "language"
-    return "truncated" if _DANGLING.search(text) and not _ENDED.search(text) else None
+    return "truncated" if is_bare_label(text) or _DANGLING.search(text) and not _ENDED.search(text) else None
 
 
 def defect(question: str | None, output: str | None, corrected: str | None) -> tuple[str | None, str | None]:
