@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import boilerplate, encoding, leakage, pairs, splitting
+from pagemill.llm import abuse, boilerplate, encoding, leakage, pairs, splitting
 from pagemill.session import table
 
 
@@ -44,7 +44,27 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
+def _p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.score(documents, abuse.fit(documents, table(spark, d, "abuse_samples")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_scores(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, found documents and their rate by source; the scores are joined by key."""
+    flagged = (F.col("score") >= abuse.THRESHOLD).cast("long")
+    scored = table(spark, d, "documents").select("doc_id", "source").join(_p8_scores(spark, d), "doc_id")
+    return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m
