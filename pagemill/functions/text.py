@@ -17,6 +17,11 @@ TOKEN = r"\b(?:[A-Za-z]+(?:/[A-Za-z]+)?|\d+(?:\.\d+)?%?)\b|%"
 FOREIGN = r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{M}\p{C}]"
 
 
+def let(value: Column, body) -> Column:  # type: ignore[no-untyped-def]
+    """body(value), with value computed once a row: a column that an expression names often is otherwise computed as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens: words, word/word, numbers and % signs. Null gives an empty array."""
     masked = F.regexp_replace(F.regexp_replace(F.lower(text), FOREIGN, "_"), r"[^\x00-\x7F]", " ")

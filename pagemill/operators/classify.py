@@ -71,7 +71,10 @@ def short_line_run(lines: Column, most: int = 30, run: int = 5, share: float = 0
 
 def table_score(text: Column) -> Column:
     """0 to 1: caption .5, decimals .2, lines of many numbers .2 and .15, p values .1, a run of short lines .15."""
-    ls = T.full_lines(text)
+    return F.when(blank(text), 0.0).otherwise(T.let(T.full_lines(text), lambda ls: _table_points(text, ls)))
+
+
+def _table_points(text: Column, ls: Column) -> Column:
     share = F.size(F.filter(ls, lambda x: _count(x, NUMBER) >= 6)) / F.greatest(F.size(ls), F.lit(1))
     score = (
         F.when(text.rlike(CAPTION), 0.5).otherwise(0.0)
@@ -81,7 +84,7 @@ def table_score(text: Column) -> Column:
         + F.when(text.rlike(P_VALUE), 0.1).otherwise(0.0)
         + F.when(short_line_run(ls), 0.15).otherwise(0.0)
     )
-    return F.when(blank(text), 0.0).otherwise(F.least(F.round(score, 9), F.lit(1.0)))
+    return F.least(F.round(score, 9), F.lit(1.0))
 
 
 def is_table(text: Column, threshold: float = 0.7) -> Column:
@@ -106,9 +109,11 @@ def is_heading_line(line: Column, most: int = 6) -> Column:
 def is_toc(text: Column, least: int = 4, share: float = 0.2, few_words: int = 100) -> Column:
     low = F.lower(text)
     named = F.exists(headings(text), lambda h: F.lower(h).contains("contents"))
-    like = _count(text, SECTION_NUMBER) + _count(text, CAPITAL_LINE) + _count(text, TRAILING_PAGE)
-    matched = F.when(like >= 4, like + _count(text, LONE_PAGE)).otherwise(like)
-    deep = text.rlike(CONTENTS_LINE) | ((matched >= least) & (matched >= F.size(T.full_lines(text)) * share))
+    # the look-ahead of the trailing page pattern is dear: only texts with such an end of line at all come to it
+    trailing = F.when(text.rlike(r"(?Udm)(?:\.\.|\s\s)\d{1,3}\s*$"), _count(text, TRAILING_PAGE)).otherwise(0)
+    like = _count(text, SECTION_NUMBER) + _count(text, CAPITAL_LINE) + trailing
+    total = T.let(like, lambda n: F.when(n >= 4, n + _count(text, LONE_PAGE)).otherwise(n))
+    deep = text.rlike(CONTENTS_LINE) | T.let(total, lambda matched: (matched >= least) & (matched >= F.size(T.full_lines(text)) * share))
     return F.when(blank(text), False).when((T.n_words(text) < few_words) & low.contains("table of contents"), True).when(named, True).when(is_table(text), False).otherwise(deep)
 
 
@@ -127,16 +132,20 @@ ROMAN_LINE = r"(?i)^(?=[mdclxvi]{2,}\z)m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix
 
 def title_features(text: Column) -> Column:
     """struct of what the title score is made of, and the score from 0 to 1."""
-    ls, low = T.full_lines(text), F.lower(text)
-    words = _count(text, r"(?U)\b\w+\b")
-    appendix = _any(low, APPENDIX_WORDS)
-    long = F.size(F.filter(ls, lambda x: T.n_words(x) > 15))
-    short = F.size(F.filter(ls, lambda x: T.n_words(x) <= 6))
-    keywords, sections = _hits(low, TITLE_KEYWORDS), _hits(low, SECTION_WORDS)
-    toc, table = is_toc(text), table_score(text) >= 0.9
+
+    def parts(low: Column) -> Column:
+        counts = T.let(T.full_lines(text), lambda ls: F.struct(F.size(F.filter(ls, lambda x: T.n_words(x) > 15)).alias("long"), F.size(F.filter(ls, lambda x: T.n_words(x) <= 6)).alias("short"), F.size(ls).alias("lines")))
+        return F.struct(_count(text, r"(?U)\b\w+\b").alias("words"), counts.alias("c"), _any(low, APPENDIX_WORDS).alias("appendix"), _hits(low, TITLE_KEYWORDS).alias("keywords"), _hits(low, SECTION_WORDS).alias("sections"), is_toc(text).alias("toc"), (table_score(text) >= 0.9).alias("table"))
+
+    return T.let(T.let(F.lower(text), parts), lambda p: _title_points(text, p))
+
+
+def _title_points(text: Column, p: Column) -> Column:
+    words, appendix, keywords, sections, toc, table = (p[c] for c in ("words", "appendix", "keywords", "sections", "toc", "table"))
+    long, short = p["c"]["long"], p["c"]["short"]
     few = F.when(words < 70, F.when(appendix, 0).otherwise(6)).when(words < 100, F.when(appendix, 0).otherwise(3)).when(words < 150, F.when(appendix, 0).otherwise(2)).otherwise(-6)
-    points = few + F.when(long <= 2, 2).otherwise(0) + F.when(short >= F.size(ls) * 0.5, 2).otherwise(0) + F.least(keywords, F.lit(5)) - sections - F.when(appendix, 4).otherwise(0) - F.when(toc, 4).otherwise(0) - F.when(table, 8).otherwise(0)
-    score = F.when(blank(text), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(points / F.lit(12.0), F.lit(1.0))))
+    total = few + F.when(long <= 2, 2).otherwise(0) + F.when(short >= p["c"]["lines"] * 0.5, 2).otherwise(0) + F.least(keywords, F.lit(5)) - sections - F.when(appendix, 4).otherwise(0) - F.when(toc, 4).otherwise(0) - F.when(table, 8).otherwise(0)
+    score = F.when(blank(text), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(total / F.lit(12.0), F.lit(1.0))))
     return F.struct(words.alias("word_count"), long.alias("long_lines"), short.alias("short_lines"), keywords.alias("title_keywords"), sections.alias("section_words"), appendix.alias("appendix"), toc.alias("toc"), table.alias("table"), F.round(score, 6).alias("score"))
 
 
@@ -145,12 +154,14 @@ def title_score(text: Column) -> Column:
 
 
 def preface_score(text: Column) -> Column:
-    low = F.lower(text)
+    return F.when(blank(text), 0.0).otherwise(T.let(F.lower(text), lambda low: T.let(F.size(F.filter(headings(text), lambda h: _any(F.lower(h), SECTION_TITLES))), lambda titles: _preface_points(text, low, titles))))
+
+
+def _preface_points(text: Column, low: Column, titles: Column) -> Column:
     n = F.size(F.split(text, " ", -1))
     keyword = _any(low, PREFACE_WORDS)
-    titles = F.size(F.filter(headings(text), lambda h: _any(F.lower(h), SECTION_TITLES)))
     points = F.when(n < 150, 2).when(n < 210, 1).otherwise(-4) + F.when(keyword, F.when(_any(low, SIGNING_WORDS), 8).otherwise(4)).otherwise(0) + F.when((titles < 1) & keyword, 4).otherwise(0) - F.when(titles > 1, 1).otherwise(0) - F.when(_any(low, APPENDIX_WORDS), 4).otherwise(0) - F.when(is_toc(text), 4).otherwise(0) - F.when(is_table(text), 4).otherwise(0)
-    return F.when(blank(text), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(points / F.lit(8.0), F.lit(1.0))))
+    return F.greatest(F.lit(0.0), F.least(points / F.lit(8.0), F.lit(1.0)))
 
 
 def printed_id(text: Column) -> Column:
