@@ -83,4 +83,11 @@ dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_
 ig AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
-SQL = {"p3_found": _P3, "p7_found": _P7}
+_P1 = r"""
+WITH l AS (SELECT doc_key, issuer, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM docs WHERE content IS NOT NULL),
+k AS (SELECT doc_key, issuer, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS k FROM l),
+t AS (SELECT issuer, count(*) AS total FROM docs GROUP BY issuer),
+x AS (SELECT k.issuer, k, count(DISTINCT doc_key) AS n FROM k JOIN t ON t.issuer IS NOT DISTINCT FROM k.issuer WHERE k <> '' GROUP BY ALL HAVING n >= 3 AND n * 100 >= 8 * any_value(total))
+SELECT DISTINCT doc_key, line_no FROM k JOIN x ON x.issuer IS NOT DISTINCT FROM k.issuer AND abs(length(x.k) - length(k.k)) <= 2 AND levenshtein(x.k, k.k) <= 2 WHERE k.k <> ''
+"""
+SQL = {"p1_found": _P1, "p3_found": _P3, "p7_found": _P7}
