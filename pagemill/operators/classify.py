@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 
 # ------------------------------------------------------------------------------------------------------ fixed values
-NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?%?(?![\w.])"
-DECIMAL = r"(?U)(?<![\w.])\d+\.\d+(?![\w.])"
-CAPTION = r"(?iU)\btables?\s+\d+(?:\s*-\s*\d+)?\b"
-P_VALUE = r"(?U)\b[pP]\s*[<>]=?\s*0?\.\d+"
+NUMBER = r"(?U)(?=[-+\p{Nd}])(?<![\w.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?%?(?![\w.])"
+DECIMAL = r"(?U)(?=\p{Nd})(?<![\w.])\d+\.\d+(?![\w.])"
+CAPTION = r"(?iU)(?=t)\btables?\s+\d+(?:\s*-\s*\d+)?\b"
+P_VALUE = r"(?U)(?=[pP])\b[pP]\s*[<>]=?\s*0?\.\d+"
 CAPITAL_HEADING = r"(?Udm)^\s*(?:[A-Z][A-Z0-9&'\-]*\s+){0,3}[A-Z][A-Z0-9&'\-]*\s*(?:\((?:cont(?:\.|d|inued)?|continued|contd?)\))?\s*$"
 TITLE_WORD = r"(?:[A-Z][a-zA-Z]*(?:[-–—][a-zA-Z]+)?(?:[-–—][a-zA-Z]+)?|[a-z]{1,4})"
 TITLE_HEADING = rf"(?Udm)(?:(?<=\n)|(?<=\A))[ \t]*((?=.*[A-Za-z]){TITLE_WORD}(?:[ \t]+{TITLE_WORD})*|(?=.*[A-Za-z])[A-Z0-9][A-Z0-9 \t\-–—]{{2,}})[ \t]*\n+\s*(?=[A-Z])"
@@ -58,12 +58,12 @@ def blank(text: Column) -> Column:
 
 
 def short_line_run(lines: Column, most: int = 30, run: int = 5, share: float = 0.4) -> Column:
-    """Whether a run of short lines, five at least, has numbers in two fifths of them."""
+    """Whether a run of short lines, five at least, has numbers in two fifths of them; lines: structs of length and numbers."""
 
     def step(s: Column, x: Column) -> Column:
-        fits = F.length(x) <= most
+        fits = x["length"] <= most
         n = F.when(fits, s["n"] + 1).otherwise(0)
-        d = F.when(fits, s["d"] + (_count(x, NUMBER) > 0).cast("int")).otherwise(0)
+        d = F.when(fits, s["d"] + (x["numbers"] > 0).cast("int")).otherwise(0)
         return F.struct(n.alias("n"), d.alias("d"), (s["found"] | ((n >= run) & (d >= n * share))).alias("found"))
 
     return F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.lit(0).alias("d"), F.lit(False).alias("found")), step)["found"]
@@ -71,11 +71,11 @@ def short_line_run(lines: Column, most: int = 30, run: int = 5, share: float = 0
 
 def table_score(text: Column) -> Column:
     """0 to 1: caption .5, decimals .2, lines of many numbers .2 and .15, p values .1, a run of short lines .15."""
-    return F.when(blank(text), 0.0).otherwise(T.let(T.full_lines(text), lambda ls: _table_points(text, ls)))
+    return F.when(blank(text), 0.0).otherwise(T.let(F.transform(T.full_lines(text), lambda x: F.struct(F.length(x).alias("length"), _count(x, NUMBER).alias("numbers"))), lambda ls: _table_points(text, ls)))
 
 
 def _table_points(text: Column, ls: Column) -> Column:
-    share = F.size(F.filter(ls, lambda x: _count(x, NUMBER) >= 6)) / F.greatest(F.size(ls), F.lit(1))
+    share = F.size(F.filter(ls, lambda x: x["numbers"] >= 6)) / F.greatest(F.size(ls), F.lit(1))
     score = (
         F.when(text.rlike(CAPTION), 0.5).otherwise(0.0)
         + F.least(_count(text, DECIMAL) / F.lit(8.0), F.lit(1.0)) * 0.2
@@ -106,15 +106,17 @@ def is_heading_line(line: Column, most: int = 6) -> Column:
     return (F.length(s) > 0) & ~F.substring(s, -1, 1).isin(".", ",", ";", ":") & T.n_words(s).between(1, most) & s.rlike(r"^\p{Lu}")
 
 
-def is_toc(text: Column, least: int = 4, share: float = 0.2, few_words: int = 100) -> Column:
+def is_toc(text: Column, least: int = 4, share: float = 0.2, few_words: int = 100, titles: Column | None = None, table: Column | None = None) -> Column:
+    """Whether the page is a table of contents; titles (headings) and table (score) can be given where they are known."""
     low = F.lower(text)
-    named = F.exists(headings(text), lambda h: F.lower(h).contains("contents"))
+    named = F.exists(headings(text) if titles is None else titles, lambda h: F.lower(h).contains("contents"))
+    tabular = (table_score(text) if table is None else table) >= 0.7
     # the look-ahead of the trailing page pattern is dear: only texts with such an end of line at all come to it
     trailing = F.when(text.rlike(r"(?Udm)(?:\.\.|\s\s)\d{1,3}\s*$"), _count(text, TRAILING_PAGE)).otherwise(0)
     like = _count(text, SECTION_NUMBER) + _count(text, CAPITAL_LINE) + trailing
     total = T.let(like, lambda n: F.when(n >= 4, n + _count(text, LONE_PAGE)).otherwise(n))
     deep = text.rlike(CONTENTS_LINE) | T.let(total, lambda matched: (matched >= least) & (matched >= F.size(T.full_lines(text)) * share))
-    return F.when(blank(text), False).when((T.n_words(text) < few_words) & low.contains("table of contents"), True).when(named, True).when(is_table(text), False).otherwise(deep)
+    return F.when(blank(text), False).when((T.n_words(text) < few_words) & low.contains("table of contents"), True).when(named, True).when(tabular, False).otherwise(deep)
 
 
 def looks_like_toc(text: Column) -> Column:
@@ -130,12 +132,14 @@ ROMAN_LINE = r"(?i)^(?=[mdclxvi]{2,}\z)m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix
 # ------------------------------------------------------------------------------------------------------ title and preface
 
 
-def title_features(text: Column) -> Column:
+def title_features(text: Column, toc: Column | None = None, table: Column | None = None) -> Column:
     """struct of what the title score is made of, and the score from 0 to 1."""
+    if toc is None:
+        return T.let(table_score(text), lambda t: title_features(text, is_toc(text, table=t), t))
 
     def parts(low: Column) -> Column:
         counts = T.let(T.full_lines(text), lambda ls: F.struct(F.size(F.filter(ls, lambda x: T.n_words(x) > 15)).alias("long"), F.size(F.filter(ls, lambda x: T.n_words(x) <= 6)).alias("short"), F.size(ls).alias("lines")))
-        return F.struct(_count(text, r"(?U)\b\w+\b").alias("words"), counts.alias("c"), _any(low, APPENDIX_WORDS).alias("appendix"), _hits(low, TITLE_KEYWORDS).alias("keywords"), _hits(low, SECTION_WORDS).alias("sections"), is_toc(text).alias("toc"), (table_score(text) >= 0.9).alias("table"))
+        return F.struct(_count(text, r"(?U)\w+").alias("words"), counts.alias("c"), _any(low, APPENDIX_WORDS).alias("appendix"), _hits(low, TITLE_KEYWORDS).alias("keywords"), _hits(low, SECTION_WORDS).alias("sections"), toc.alias("toc"), (table >= 0.9).alias("table"))
 
     return T.let(T.let(F.lower(text), parts), lambda p: _title_points(text, p))
 
@@ -153,14 +157,16 @@ def title_score(text: Column) -> Column:
     return title_features(text)["score"]
 
 
-def preface_score(text: Column) -> Column:
-    return F.when(blank(text), 0.0).otherwise(T.let(F.lower(text), lambda low: T.let(F.size(F.filter(headings(text), lambda h: _any(F.lower(h), SECTION_TITLES))), lambda titles: _preface_points(text, low, titles))))
+def preface_score(text: Column, titles: Column | None = None, toc: Column | None = None, table: Column | None = None) -> Column:
+    if titles is None:
+        return T.let(headings(text), lambda hs: T.let(table_score(text), lambda t: preface_score(text, hs, is_toc(text, titles=hs, table=t), t)))
+    return F.when(blank(text), 0.0).otherwise(T.let(F.lower(text), lambda low: T.let(F.size(F.filter(titles, lambda h: _any(F.lower(h), SECTION_TITLES))), lambda n: _preface_points(text, low, n, toc, table))))
 
 
-def _preface_points(text: Column, low: Column, titles: Column) -> Column:
+def _preface_points(text: Column, low: Column, titles: Column, toc: Column, table: Column) -> Column:
     n = F.size(F.split(text, " ", -1))
     keyword = _any(low, PREFACE_WORDS)
-    points = F.when(n < 150, 2).when(n < 210, 1).otherwise(-4) + F.when(keyword, F.when(_any(low, SIGNING_WORDS), 8).otherwise(4)).otherwise(0) + F.when((titles < 1) & keyword, 4).otherwise(0) - F.when(titles > 1, 1).otherwise(0) - F.when(_any(low, APPENDIX_WORDS), 4).otherwise(0) - F.when(is_toc(text), 4).otherwise(0) - F.when(is_table(text), 4).otherwise(0)
+    points = F.when(n < 150, 2).when(n < 210, 1).otherwise(-4) + F.when(keyword, F.when(_any(low, SIGNING_WORDS), 8).otherwise(4)).otherwise(0) + F.when((titles < 1) & keyword, 4).otherwise(0) - F.when(titles > 1, 1).otherwise(0) - F.when(_any(low, APPENDIX_WORDS), 4).otherwise(0) - F.when(toc, 4).otherwise(0) - F.when(table >= 0.7, 4).otherwise(0)
     return F.greatest(F.lit(0.0), F.least(points / F.lit(8.0), F.lit(1.0)))
 
 
@@ -183,12 +189,12 @@ def is_summary_title(title: Column) -> Column:
     return F.when(of, _any(t, ["study", "report", "results"])).otherwise(_any(t, ["summary", "sumnary", "abstract"]) & (T.n_words(t) <= 2))
 
 
-def has_summary(text: Column) -> Column:
-    return F.coalesce(F.exists(headings(text), is_summary_title), F.lit(False)).cast("int")
+def has_summary(text: Column, titles: Column | None = None) -> Column:
+    return F.coalesce(F.exists(headings(text) if titles is None else titles, is_summary_title), F.lit(False)).cast("int")
 
 
-def has_introduction(text: Column) -> Column:
-    return F.coalesce(F.exists(headings(text), lambda h: _any(F.lower(h), ["introduction", "1troduction"]) & (T.n_words(h) <= 2)), F.lit(False)).cast("int")
+def has_introduction(text: Column, titles: Column | None = None) -> Column:
+    return F.coalesce(F.exists(headings(text) if titles is None else titles, lambda h: _any(F.lower(h), ["introduction", "1troduction"]) & (T.n_words(h) <= 2)), F.lit(False)).cast("int")
 
 
 def has_text_layer(pages, study: str = "study_id", page: str = "page_num", text: str = "text", least: int = 200, first: int = 10):  # type: ignore[no-untyped-def]

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from pagemill.session import spread
+
 # ---------------------------------------------------------------------------------------------- units
 
 #: Base dimensions, in the order of the exponent vectors.
@@ -289,5 +291,5 @@ def with_amounts(df: DataFrame, question: str | Column, text: str | Column, into
 
 def found_amounts(run_states: DataFrame) -> DataFrame:
     """state_id, quantity, amount: one row for each distinct figure of corrected_output (questions 2, 6, 7 and 10)."""
-    cols = run_states.select("state_id", "question_id", "corrected_output").where(F.col("corrected_output").rlike(r"(?i)\d|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"))
-    return with_amounts(cols, "question_id", "corrected_output").select("state_id", F.explode("amounts").alias("a")).select("state_id", "a.quantity", "a.amount")
+    cols = run_states.select("state_id", "question_id", "corrected_output").where(F.col("question_id").isin(*BY_QUESTION)).where(F.col("corrected_output").rlike(r"(?i)\d|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"))
+    return with_amounts(spread(cols), "question_id", "corrected_output").select("state_id", F.explode("amounts").alias("a")).select("state_id", "a.quantity", "a.amount")

@@ -34,8 +34,10 @@ SUMMARY_WORDS = ["summary", "sumnary", "abstract"]
 
 def page_features(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
     """study, page and the scores of each page; on a contents page all others are 0."""
-    t = F.col(text)
-    base = pages.select(study, page, K.is_toc(t).cast("int").alias("toc_score"), K.title_score(t).alias("title"), K.preface_score(t).alias("preface"), K.printed_page(t).alias("printed"), K.printed_id(t).alias("pid"), K.has_summary(t).alias("summary"), K.has_introduction(t).alias("intro"))
+    t, hs, ts, toc = F.col(text), F.col("_hs"), F.col("_ts"), F.col("_toc")
+    # what several scores need is a column of its own, which Catalyst doesn't fold into its users
+    known = pages.select(study, page, text, K.headings(t).alias("_hs"), K.table_score(t).alias("_ts")).withColumn("_toc", K.is_toc(t, titles=hs, table=ts))
+    base = known.select(study, page, toc.cast("int").alias("toc_score"), K.title_features(t, toc, ts)["score"].alias("title"), K.preface_score(t, hs, toc, ts).alias("preface"), K.printed_page(t).alias("printed"), K.printed_id(t).alias("pid"), K.has_summary(t, hs).alias("summary"), K.has_introduction(t, hs).alias("intro"))
     clear = lambda c, zero: F.when(F.col("toc_score") > 0, F.lit(zero)).otherwise(F.col(c))
     return base.select(study, page, "toc_score", clear("title", 0.0).alias("title_page_score"), F.round(clear("preface", 0.0), 6).alias("study_preface_score"), clear("printed", None).alias("pdf_page_num"), clear("pid", None).alias("printed_id"), clear("summary", 0).alias("summary_score"), clear("intro", 0).alias("intro_score"))
 

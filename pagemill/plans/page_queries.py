@@ -16,13 +16,13 @@ from pagemill.operators import cleaning as C
 from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
-from pagemill.session import table
+from pagemill.session import spread, table
 from pagemill.sources import sinks
 from pagemill.streaming import ingest
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "docs").select("doc_key", "content")
+    return spread(table(spark, d, "docs").select("doc_key", "content"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import retrieval as R
-from pagemill.session import table
+from pagemill.session import spread, table
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("source", F.col("doc_id").alias("doc_idx"), F.col("text").alias("content"))
+    return spread(table(spark, d, "documents").select("source", F.col("doc_id").alias("doc_idx"), F.col("text").alias("content")))
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:

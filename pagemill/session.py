@@ -51,3 +51,12 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer partitions than those (few large files); otherwise unchanged.
+
+    For stages that compute much per row. Tables of a cluster's size have more splits than cores and aren't shuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
