@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 # ---------------------------------------------------------------------------------------------- disguise
 
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0x180E])
@@ -390,7 +392,7 @@ def fit(documents: DataFrame, samples: DataFrame, text: str = "text", category:
     The classifier's training sentences are drawn by a hash of text and place, per_pattern of each vote pattern (ten
     times as many of the silent ones); both bounds are parameters, as the counts under the label model are not sampled.
     """
-    some = documents.select(text).where(F.col(text).isNotNull())
+    some = spread(documents.select(text).where(F.col(text).isNotNull()))
     # at most 2^voters rows come back
     counts = Counter({r["pattern"]: r["n"] for r in some.mapInPandas(_pattern_counts(text), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
     known = []
@@ -400,6 +402,7 @@ def fit(documents: DataFrame, samples: DataFrame, text: str = "text", category:
     label = LabelModel(counts, [(p, y) for _, p, y in known])
     rates = {p: min(1.0, per_pattern * (10 if p in (0, BIT["technical"]) else 1) / n) for p, n in counts.items()}
     drawn = some.mapInPandas(_training_rows(text, rates), "sentence string, pattern long").limit(sample_rows).collect()
+    drawn.sort()  # the same sentences give the same model, however they were spread
     rows = []
     for s, p in drawn:
         rows.append((features(reveal_all(s)[0], p), label.posterior.get(p, 0.0)))
@@ -422,7 +425,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "score": [own.text(t) for t in pdf[text]]})
 
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, score double")
+    return spread(documents.select(key, text)).mapInPandas(run, f"{key} {kind}, score double")
 
 
 THRESHOLD = 0.5

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 WINDOW, MASK, LEAST = 8, np.uint64(31), 8
 BUCKETS = 4096
 #: Code points that a worker looks at together; longer texts are taken in segments of whole lines.
@@ -284,7 +286,7 @@ def excessive_lines(docs: DataFrame, source: str, text: str, least: int = 3, per
     spark = docs.sparkSession
     cols = docs.select(F.col(source).alias("source"), F.col(text).alias("text"))
     totals = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("total"))
-    some = cols.where(F.col("text").isNotNull())
+    some = spread(cols.where(F.col("text").isNotNull()))
     buckets = some.mapInArrow(_bucket_counts, "source string, bucket int, documents long").groupBy("source", "bucket").agg(F.sum("documents").alias("documents"))
     rule = (F.col("documents") >= least) & (F.col("documents") * 100 >= F.col("total") * percent)
     hot = buckets.join(totals.select(F.col("source").alias("_s"), "total"), F.col("source").eqNullSafe(F.col("_s"))).where(rule).groupBy("source").agg(F.collect_list("bucket").alias("buckets"))
@@ -324,7 +326,7 @@ def found_lines(docs: DataFrame, key: str = "doc_key", source: str = "issuer", t
     Null and empty texts and lines without letters give no row.
     """
     kind = docs.schema[key].dataType
-    some = docs.select(key, F.col(source).alias("source"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    some = spread(docs.select(key, F.col(source).alias("source"), F.col(text).alias("text")).where(F.col(text).isNotNull()))
     out = None
     for block in _blocks(excessive_lines(docs, source, text, **rule)):
         marks = _marks(block, edits)
@@ -343,7 +345,7 @@ def found_lines(docs: DataFrame, key: str = "doc_key", source: str = "issuer", t
 def remove_lines(docs: DataFrame, source: str = "issuer", text: str = "content", edits: int = 2, **rule: int) -> DataFrame:
     """docs with text freed from its excessive lines and their line feeds, otherwise unchanged; n_removed counts them."""
     blocks = _blocks(excessive_lines(docs, source, text, **rule))
-    cleaned = docs
+    cleaned = spread(docs)
     for n, block in enumerate(blocks):
         marks = _marks(block, edits)
 

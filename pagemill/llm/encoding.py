@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 #: Texts of one call of the tokenizer hold at most so many code points, to bound a worker's memory.
 BATCH_CHARS = 2_000_000
 
@@ -137,7 +139,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     path = path or tokenizer_path()
     kind = df.schema[key].dataType
-    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    base = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,7 +158,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
         .select(F.struct("_row", "_key").alias("_key"), "_no", F.expr(f"substring(_text, _no * {leaf_chars} + 1, {leaf_chars})").alias("_leaf"), F.expr(f"substring(_text, (_no + 1) * {leaf_chars} + 1, {leaf_chars})").alias("_next"), F.expr("length(_text)").alias("_n"))
     )
     # the row number keeps apart rows of equal keys; it is drawn once, before the only exchange that uses it
-    spread = leaves.select(F.col("_key._row").alias("_row"), F.col("_key._key").alias("_key"), "_no", "_leaf", "_next").repartition(F.col("_row"), F.col("_no"))
+    scattered = leaves.select(F.col("_key._row").alias("_row"), F.col("_key._key").alias("_key"), "_no", "_leaf", "_next").repartition(F.col("_row"), F.col("_no"))
 
     def leaf_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner = _leaf_rows(path)
@@ -166,7 +168,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
                 got["_leaf"] = pdf["_leaf"].to_numpy()
                 yield got
 
-    parts = spread.mapInPandas(leaf_rows, f"_row long, _key {kind.simpleString()}, _no int, ids array<int>, index array<int>, starts array<int>, left_end int, window array<int>, right_start int, _leaf string")
+    parts = scattered.mapInPandas(leaf_rows, f"_row long, _key {kind.simpleString()}, _no int, ids array<int>, index array<int>, starts array<int>, left_end int, window array<int>, right_start int, _leaf string")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_no")

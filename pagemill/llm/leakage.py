@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,7 +138,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     n = numbered.count()
     blocks = max(1, -(-n // block_items))
     found = None
-    docs = documents.select(key, text).where(F.col(text).isNotNull())
+    docs = spread(documents.select(key, text).where(F.col(text).isNotNull()))
     for b in range(blocks):
         block = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b)
         pieces = Pieces([(r[0], r[1]) for r in block.collect()], run_words)

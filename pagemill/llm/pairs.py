@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import materialised
+from pagemill.session import materialised, spread
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LABEL = re.compile(r"\s*([^:\n]{1,80}):(.*)\Z", re.S)
@@ -321,7 +321,7 @@ def found_defects(run_states: DataFrame) -> DataFrame:
     A null question is taken as an English one without words to copy; null, empty and blank answers are "empty".
     """
     kind = run_states.schema["state_id"].dataType.simpleString()
-    seen = materialised(run_states.select("state_id", "question", "output", "corrected_output").mapInArrow(_examine, f"state_id {kind}, defect string, key string"))
+    seen = materialised(spread(run_states.select("state_id", "question", "output", "corrected_output")).mapInArrow(_examine, f"state_id {kind}, defect string, key string"))
     whole = seen.where("state_id is null").select("key").distinct()
     sure = seen.where("state_id is not null and defect is not null").select("state_id", "defect")
     cut = seen.where("state_id is not null and defect is null").join(whole, "key", "left_anti").select("state_id", F.lit("truncated").alias("defect"))

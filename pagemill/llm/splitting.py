@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 #: Kinds of boundaries, best first: paragraph, line, sentence, clause, word. A cut stands behind the match.
 KINDS = ((4, re.compile(r"(?:\r?\n[ \t]*){2,}")), (3, re.compile(r"\r?\n|\r")), (2, re.compile(r"[.!?…][\"')\]»”]*[ \t]+|[。！？]")), (1, re.compile(r"[;:,][ \t]+")), (0, re.compile(r"[ \t]+")))
 WORD = re.compile(r"[^ \t\r\n]+")
@@ -152,7 +154,7 @@ def plan_pieces(sized: DataFrame, key: str, text: str, range_chars: int = 1 << 2
             rows = [(k, [dict(zip(("piece_no", "start", "end", "kind"), x)) for x in p]) for k, t, u, m, o in zip(pdf[key], pdf["_text"], pdf["_unit"], pdf["_most"], pdf["_overlap"]) if len(p := plan(t, u, int(m), int(o))) > 1]
             yield pd.DataFrame(rows, columns=[key, "plan"])
 
-    short = over.where(F.length("_text") <= range_chars).mapInPandas(small, out)
+    short = spread(over.where(F.length("_text") <= range_chars)).mapInPandas(small, out)
     ranges = (
         over.where(F.length("_text") > range_chars)
         .withColumn("_no", F.explode(F.sequence(F.lit(0), F.ceil(F.length("_text") / range_chars).cast("int") - 1)))
