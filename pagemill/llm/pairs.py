@@ -225,6 +225,9 @@ _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _NAME = re.compile(r"\A[A-Z][a-zà-ÿ]{5,}\Z")
 
 
+_PROPER = re.compile(r"\s*(?:null(?:\s*:\s*null)?|not applicable)\.?\Z", re.I)
+
+
 def value_of(corrected: str | None) -> str:
     """What stands behind the label of a formatted answer, without remarks on groups or vehicles."""
     m = _LABEL.match(corrected or "")
@@ -243,6 +246,8 @@ def end_key(sentence: str) -> str:
 def open_end(output: str, corrected: str | None) -> str | bool:
     """True: output is truncated; False: it is not; a key: it is, unless a sentence of the corpus ends so."""
     text = output.rstrip()
+    if _PROPER.match(text):
+        return False
     v = value_of(corrected)
     if v and not text.endswith(v):
         if v not in text:

@@ -117,7 +117,8 @@ def plan(text: str, unit: str, most: int, overlap: int, cuts: list[tuple[int, in
             end = start + 1
         out.append((len(out), start, end, kind))
         nxt = ruler.back(end, overlap)
-        start = nxt if nxt > start else end
+        # an overlap that leaves no room for anything new is given up
+        start = nxt if nxt > start and ruler.furthest(nxt, most) > end else end
 
 
 def _could_exceed(text: Column, unit: Column, most: Column) -> Column:
