@@ -102,13 +102,13 @@ def plan(text: str, unit: str, most: int, overlap: int, cuts: list[tuple[int, in
     import bisect
 
     places = [c[0] for c in cuts]
-    out, start = [], 0
+    out, start, done = [], 0, 0
     while True:
         limit = ruler.furthest(start, most)
         if limit >= n:
             out.append((len(out), start, n, 9))
             return out
-        low = max(ruler.furthest(start, max(overlap + 1, most // 2)), start + 1)
+        low = max(ruler.furthest(start, max(overlap + 1, most // 2)), start + 1, done + 1)
         end, kind = limit, -1
         for at, k in cuts[bisect.bisect_left(places, low) : bisect.bisect_right(places, limit)]:
             if k >= kind:
@@ -116,6 +116,7 @@ def plan(text: str, unit: str, most: int, overlap: int, cuts: list[tuple[int, in
         if end <= start:
             end = start + 1
         out.append((len(out), start, end, kind))
+        done = end
         nxt = ruler.back(end, overlap)
         # an overlap that leaves no room for anything new is given up
         start = nxt if nxt > start and ruler.furthest(nxt, most) > end else end
@@ -276,7 +277,7 @@ def plan_files(spark: SparkSession, files: list[tuple[str, int]], most: int, ove
                 rows.append((pdf["path"].iloc[0], len(rows), start, n))
                 break
             end, kind = limit, -1
-            for at, k in cuts[bisect.bisect_left(places, start + max(overlap + 1, most // 2)) : bisect.bisect_right(places, limit)]:
+            for at, k in cuts[bisect.bisect_left(places, max(start + max(overlap + 1, most // 2), rows[-1][3] + 1 if rows else 0)) : bisect.bisect_right(places, limit)]:
                 if k >= kind:
                     end, kind = at, k
             rows.append((pdf["path"].iloc[0], len(rows), start, end))
