@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return scanrepair.found_noise(table(spark, d, "page_docs"))
 
 
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.Repair(table(spark, d, "page_docs")).paragraphs()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "docs"), table(spark, d, "split_profiles"))
 
@@ -68,7 +72,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m

@@ -98,6 +98,9 @@ def test_scanned_pages(spark):
     assert {(3, 3, "hyphen", "control"), (3, 3, "misread", "recovery"), (3, 4, "misread", "59"), (5, 3, "hyphen", "recovery"), (3, 5, "page_no", ""), (1, 4, "page_no", "")} <= got
     assert not {r for r in got if r[2] == "misread" and r[:2] not in {(3, 3), (3, 4)}}
     assert scanrepair.found_noise(df.where("false")).count() == 0
+    text = " ".join(r["text"] for r in scanrepair.Repair(df).paragraphs().where("study_id = 'S'").orderBy("paragraph").collect())
+    assert "the recovery was complete in the control group of 59 animals" in text and "reco¬" not in text and "it was normal in the recovery group The" in text
+    assert "Project X" not in text and "- 5 -" not in text
 
 
 # ------------------------------------------------------------------------------------------------ 3
