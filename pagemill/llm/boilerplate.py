@@ -343,7 +343,11 @@ def found_lines(docs: DataFrame, key: str = "doc_key", source: str = "issuer", t
 
 
 def remove_lines(docs: DataFrame, source: str = "issuer", text: str = "content", edits: int = 2, **rule: int) -> DataFrame:
-    """docs with text freed from its excessive lines and their line feeds, otherwise unchanged; n_removed counts them."""
+    """docs with text freed from its excessive lines and their line feeds, otherwise unchanged; n_removed counts them.
+
+    Null text stays null; a column of docs that is named n_removed or _c gives way.
+    """
+    docs = docs.drop("n_removed", "_c")
     blocks = _blocks(excessive_lines(docs, source, text, **rule))
     cleaned = spread(docs)
     for n, block in enumerate(blocks):

@@ -197,8 +197,10 @@ def split(docs: DataFrame, profiles: DataFrame, key: str = "doc_key", text: str
     """Every row of docs as one or more pieces: docs' columns with content replaced, piece_no, n_pieces, start, end.
 
     A row within its limit, also an empty one, is its only piece; a row with null content comes out with null. Pieces
-    keep their row's other columns, metadata included.
+    keep their row's other columns, metadata included; a column of docs named as one that is added gives way to it.
     """
+    added = ("piece_no", "n_pieces", "piece_start", "piece_end", "plan", "_plan", "_p", "_profile", "_name", "_unit", "_most", "_overlap", "is_default", "_u", "_m", "_o")
+    docs = docs.drop(*(c for c in added if c != key))
     sized = with_profiles(docs, profiles, F.col("metadata.profile"))
     plans = plan_pieces(sized, key, text)
     rest = [F.col(c) for c in docs.columns if c != text]

@@ -54,7 +54,7 @@ def test_repeated_lines_against_brute_force(spark):
     rows += [(100, "A", None), (101, "A", ""), (102, "B", "once\n\n"), (103, "A", "confidental property of a\n1 2 3")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_key long, issuer string, content string, line_no string")
     assert {tuple(r) for r in boilerplate.found_lines(df).collect()} == repeated_lines(rows)
-    cleaned = {r["doc_key"]: r["content"] for r in boilerplate.remove_lines(df.drop("line_no")).collect()}
+    cleaned = {r["doc_key"]: r["content"] for r in boilerplate.remove_lines(df.withColumnRenamed("line_no", "n_removed")).collect()}
     found = repeated_lines(rows)
     for key, _, t in rows:
         assert cleaned[key] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (key, n) not in found))
@@ -127,7 +127,7 @@ def test_overlap_is_exact_and_cuts_are_natural():
 
 def test_ranges_give_the_plan_of_the_whole(spark):
     text = "".join(RNG.choice(["word ", "end. ", "\n", "\n\n", "é, "]) for _ in range(3000))
-    docs = spark.createDataFrame([(1, text, None), (2, None, "p"), (3, "", "p"), (4, "x" * 100, "p"), (5, "x" * 101, "p")], "doc_key long, content string, profile string").selectExpr("doc_key", "content", "struct(profile) as metadata", "1 as piece_no_")
+    docs = spark.createDataFrame([(1, text, None), (2, None, "p"), (3, "", "p"), (4, "x" * 100, "p"), (5, "x" * 101, "p")], "doc_key long, content string, profile string").selectExpr("doc_key", "content", "struct(profile) as metadata", "1 as piece_no", "2 as is_default")
     profiles = spark.createDataFrame([("p", "chars", 100, 10, False), ("d", "words", 50, 5, True)], "profile string, size_unit string, max_size int, overlap_size int, is_default boolean")
     from pyspark.sql import functions as F
 
