@@ -78,7 +78,7 @@ for safety reasons i cannot *
 that is something i can't discuss
 """
 _TEMPLATES = [[t for t in line.split() if t != "*"] for line in REFUSALS.strip().splitlines()]
-_CUE = re.compile(r"sorry|apolog|unable|declin|refus|can(?:no|'|’)t|can not|won['’]t|will not|not able|guidelines|polic(?:y|ies)|appropriate|rather not|prefer not|as an ai\b|assistant|not allowed|not permitted|comfortable|instructed", re.I)
+_CUES = tuple("sorry|apolog|unable|declin|refus|cannot|can't|can’t|can not|won't|won’t|will not|not able|guidelines|policy|policies|appropriate|rather not|prefer not|as an ai |assistant|not allowed|not permitted|comfortable|instructed".split("|"))
 
 #: Function words by language.
 FUNCTION_WORDS = {
@@ -149,10 +149,9 @@ _FIRST = re.compile(r"[^.!?\n]*[.!?]?")
 
 
 def is_refusal(text: str) -> bool:
-    if not _CUE.search(text[:300]):
-        return False
     first = _FIRST.match(text.lstrip())[0]
-    return bool(_CUE.search(first)) and _refuses(first[:400])
+    low = first.lower()
+    return any(c in low for c in _CUES) and _refuses(first[:400])
 
 
 @lru_cache(maxsize=5000)
@@ -171,6 +170,10 @@ def is_copy(question: str | None, text: str) -> bool:
     q, words, shingles = _question(question)
     if len(q) < 4 or len(text) > 4 * len(question) + 60:
         return False
+    # most of a copy's first words are the question's: others needn't be taken apart
+    opening = text[:120].lower().split(None, 6)[:6]
+    if sum(w.strip("\"'(),.:?") in words for w in opening) < min(3, len(opening)):
+        return False
     a = tokens(text)
     at = 0
     while at < min(3, len(a)) and a[at] in _INTRO and a[at] != q[0]:
@@ -208,13 +211,20 @@ def _question_language(text: str) -> str | None:
     return _language(text)
 
 
+#: Where these are a sixth of the words, a text is English without further question.
+_USUAL = (" the ", " of ", " is ", " that ", " to ", " this ", " was ", " were ", " are ", " by ", " for ", " no ", " not ", " and ")
+
+
 def is_foreign(question: str | None, text: str) -> bool:
     """In another language than the question (English where there is no question); quoted titles are left out."""
     if len(text) < 12:
         return False
+    asked = (_question_language(question) if question else None) or "en"
+    if asked == "en" and sum(map(text.count, _USUAL)) * 6 > text.count(" "):
+        return False
     bare = _QUOTED.sub(" ", text) if '"' in text or "„" in text or "«" in text or "“" in text else text
     own = _language(bare)
-    return own is not None and own != ((_question_language(question) if question else None) or "en")
+    return own is not None and own != asked
 
 
 _SUFFIX = re.compile(r"(?:\s*\((?:n\s*=\s*\d+|group \d+)\)|\s+for (?:fe)?males|\s+in (?:corn|olive) oil)+\s*\Z", re.I)
@@ -239,7 +249,7 @@ def value_of(corrected: str | None) -> str:
 
 def end_key(sentence: str) -> str:
     """The last three words of a sentence, with numbers and names masked."""
-    last = sentence.rstrip().rstrip(".!?…\"'”’»").split()[-3:]
+    last = sentence.rstrip().rstrip(".!?…\"'”’»").rsplit(None, 3)[-3:]
     return " ".join("S" if _NAME.match(w.strip(",;:()")) else _NUMBER.sub("9", w) for w in last)
 
 
@@ -300,6 +310,7 @@ def defect(question: str | None, output: str | None, corrected: str | None) -> t
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """state_id with its defect or its open end; and, without state_id, the ends of whole sentences."""
     ends: set[str] = set()
+    tails: set[str] = set()
     for b in batches:
         ids, found, keys = [], [], []
         new: set[str] = set()
@@ -311,7 +322,10 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(key)
             if not d and o:
                 for s in _SPLIT.split(o):
-                    if s and s[-1] in ".!?":
+                    if s and s[-1] in ".!?" and (tail := s[-48:]) not in tails:
+                        # equal last 48 characters have equal last words, if these are all within them
+                        if tail.count(" ") >= 3 and len(tails) < 300_000:
+                            tails.add(tail)
                         new.add(end_key(s))
         new -= ends
         if len(ends) < 1_000_000:  # only spares repeats; what is beyond is sent again
