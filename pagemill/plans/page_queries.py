@@ -16,6 +16,7 @@ from pagemill.operators import cleaning as C
 from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
+from pagemill.plans import retrieval_queries as RQ
 from pagemill.session import spread, table
 from pagemill.sources import sinks
 from pagemill.streaming import ingest
@@ -258,3 +259,13 @@ SQL: dict[str, str] = {
     "event_windows": "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS events FROM events GROUP BY ALL",
 }
 SQL["tidied"] = f"SELECT doc_key, {_STRIP.format('t')} AS text FROM (SELECT doc_key, regexp_replace(array_to_string(list_transform({_L}, lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM docs)"
+
+_SAME = "(regexp_matches(x, '(?i)^\\s*.+?\\s*\\.{2,}\\s*[ivxlcdm\\d]+\\s*$') OR regexp_matches(x, '(?i)^\\s*.+?\\s{2,}[ivxlcdm\\d]+\\s*$'))"
+_LONE = "(regexp_matches(x, '^\\d{1,4}$') OR (regexp_matches(x, '(?i)^[mdclxvi]{2,}$') AND regexp_matches(x, '(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$')))"
+SQL["looks_like_toc"] = f"WITH l AS (SELECT doc_key, content, list_filter(list_transform(string_split({_NL}, chr(10)), lambda x: {_S}), lambda x: length(x) > 0) AS ls FROM docs) SELECT doc_key, coalesce(regexp_matches(content, '(?i)\\bcontents\\b') OR len(list_filter(ls, lambda x: {_SAME})) >= 4 OR len(list_filter(ls, lambda x: {_LONE})) >= 4, false) AS toc FROM l"
+_ON_DOCS = RQ._BASE.replace("FROM documents", "FROM (SELECT study_id AS source, doc_key AS doc_id, content AS text FROM docs)")
+SQL["context_assembly"] = f"""WITH {_ON_DOCS}, {RQ._ALL_SCORED},
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY score DESC, doc_idx DESC) AS rank FROM s QUALIFY rank <= 3),
+f AS (SELECT study_id, arg_min_null(metadata.page_num, doc_key) AS first FROM docs GROUP BY study_id)
+SELECT question_id, source AS study_id, array_to_string(list_filter(list_concat([max(first)], list(metadata.page_num ORDER BY rank)), lambda x: x IS NOT NULL), ',') AS pages, (1 + count(*))::INT AS length
+FROM o JOIN docs ON docs.doc_key = o.doc_idx JOIN f ON f.study_id = source GROUP BY question_id, source"""
