@@ -172,8 +172,8 @@ def reveal_all(sentence: str) -> tuple[list[str], int]:
         w, h = reveal(t)
         hidden += h
         if w:
-            if "-" in w or "'" in w or "’" in w:
-                words += [x for x in re.split(r"[-'’]", w) if x]
+            if "-" in w or "'" in w or "’" in w or "‐" in w:
+                words += [x for x in re.split(r"[-'’‐]", w) if x]
             else:
                 words.append(w)
     if invisible and any(w in _ALL for w in words):
@@ -192,7 +192,7 @@ _CURSE = re.compile(r"\b(?:shut (?:your|the|up)|choke on|drown yourself|go to he
 _GROUP = re.compile(r"^(?:[^ ]+ ){0,6}?(?:all|those|these|the|they|alle|diese|die|tous(?: ces| les)?|ces|les|los|las|todos(?: los)?|esos) (?:[^ ]+ ){1,3}?(?:are|sind|sont|son) (?:[^ ]+ ){0,4}?(?:" + "|".join(sorted(DEGRADING)) + r")\b|\bthey are (?:[^ ]+ ){0,3}(?:" + "|".join(sorted(DEGRADING)) + r")\b|\bbreed here\b")
 _OUT = re.compile(r"\b(?:by birth|back to the swamp|nobody would miss them|breed here like|thrown out of our|poison everything they|deserves? medicine|the swamp they came|a eliminer|hay que echarlos|gehoren alle|muss man ausrotten|raus mit (?:diesen|den|allen)|send (?:them|every last one)|go back to (?:your|where)|gas them|should be (?:shot|hanged|exterminated|gassed))\b")
 _SELL = re.compile(r"\b(?:click (?:now|here)|in your area|free adult|pictures inside|every day|wait for you|tonight|touch each other|live cam|call me|subscribe now|right on the bench|behind the fume hood|clothes off|little thing|makes me so|show me your|montre moi|ensename|zeig mir|had sex|against hers|against his|moan(?:ed|ing) as)\b")
-_TECHNICAL = re.compile(r"\b(?:treated|treatment|dos(?:ing|ed)|doses of|received?|receiving|exposed|exposure|histolog\w*|necropsy|findings?|retention|maturation|motility|reflexes|ossification|litter|foetus\w*|tumours?|mating|suspension|scored|housed|pregnant|gestation|assessed|examined|percent|milligrams|studied|washed|cages|traced|observed|analysed|gruppe|tieren?|erhielten|untersucht|animaux|groupe|chez|dose|animales|grupo|recibieron|protocol|certificate)\b")
+_TECHNICAL = re.compile(r"\b(?:treated|treatment|dos(?:ing|ed)|doses|received?|receiving|exposed|exposure|histolog\w*|necropsy|findings?|retention|maturation|motility|reflexes|ossification|litter|foetus\w*|tumours?|mating|suspension|scored|housed|pregnant|gestation|assessed|examined|percent|milligrams|studied|washed|cages|traced|observed|analysed|gruppe|tieren?|erhielten|untersucht|animaux|groupe|chez|dose|animales|grupo|recibieron|protocol|certificate)\b")
 _REPORT = re.compile(r"\b(?:complain(?:ed|t)|moderator|judged them|were removed|calmer|was reported|reported that|the tone of|rude|impolite|code of conduct|policy against|apologi[sz]ed|insulting|abuse potential|training on|harassment (?:policy|training))\b")
 
 VOTERS = ("insult", "insult_weak", "foreign", "foreign_weak", "sexual", "sexual_weak", "address", "group", "outcast", "curse", "sell", "hidden", "several", "technical", "report")
@@ -200,32 +200,59 @@ POSITIVE = 13
 BIT = {v: 1 << i for i, v in enumerate(VOTERS)}
 
 
+_TECHNICAL_WORDS = re.compile("(?:" + _TECHNICAL.pattern.removeprefix(r"\b(?:").removesuffix(r")\b") + r")\Z")
+#: Words without which a pattern can't match; a sentence without any of them isn't searched.
+_CURSE_WORDS = frozenset("shut choke drown hell crawl break kill hope piss screw fuck get lost drop ill i maul fresse klappe verpiss fahr holle ferme gueule va creve callate cierra vete muerete touch mother believes thats like bunch whoever everybody".split())
+_OUT_WORDS = frozenset("birth swamp nobody breed thrown poison deserve deserves eliminer hay gehoren muss raus send go gas should".split())
+_REPORT_WORDS = frozenset("complained complaint moderator judged removed calmer reported tone rude impolite conduct policy apologised apologized insulting abuse training harassment".split())
+_KINDS = ("insult", "insult_weak", "foreign", "foreign_weak", "sexual", "sexual_weak")
+_DEGRADES, _YOURS, _MAY_CURSE, _MAY_CAST, _MAY_REPORT = (1 << 20 + i for i in range(5))
+_FLAGS = (("degrading", DEGRADING, _DEGRADES), ("you", _YOU, _YOURS), ("curse", _CURSE_WORDS, _MAY_CURSE), ("out", _OUT_WORDS, _MAY_CAST), ("report", _REPORT_WORDS, _MAY_REPORT))
+
+
+@lru_cache(maxsize=200_000)
+def word_bits(w: str) -> tuple[int, int]:
+    """What one word votes for or hints at, and in how many lexicons it is."""
+    bits = n = 0
+    for k in _KINDS:
+        if _in([w], _WORDS[k]):
+            bits |= BIT[k]
+            n += 1
+    for _, words, flag in _FLAGS:
+        if w in words:
+            bits |= flag
+    if _TECHNICAL_WORDS.match(w):
+        bits |= BIT["technical"]
+    return bits, n
+
+
 def votes(words: list[str], hidden: int) -> int:
     """The voters that don't abstain, as bits."""
-    out = total = 0
-    for k in ("insult", "insult_weak", "foreign", "foreign_weak", "sexual", "sexual_weak"):
-        if n := _in(words, _WORDS[k]):
-            out |= BIT[k]
-            total += n
-    joined = " ".join(words)
-    degraded = any(w in DEGRADING for w in words)
-    if any(w in _YOU for w in words):
-        out |= BIT["address"] if out else 0
-    if _CURSE.search(joined):
+    hints = total = 0
+    for w in words:
+        b, n = word_bits(w)
+        hints |= b
+        total += n
+    out = hints & (BIT["insult"] | BIT["insult_weak"] | BIT["foreign"] | BIT["foreign_weak"] | BIT["sexual"] | BIT["sexual_weak"])
+    joined = ""
+    if out or hints & (_DEGRADES | _MAY_CURSE | _MAY_CAST | _MAY_REPORT):
+        joined = " ".join(words)
+    if out and hints & _YOURS:
+        out |= BIT["address"]
+    if hints & _MAY_CURSE and _CURSE.search(joined):
         out |= BIT["curse"]
-    if _SELL.search(joined):
-        out |= BIT["sell"] if out else 0
-    if degraded and _GROUP.search(joined):
+    if out and _SELL.search(joined):
+        out |= BIT["sell"]
+    if hints & _DEGRADES and _GROUP.search(joined):
         out |= BIT["group"]
-    if _OUT.search(joined):
+    if hints & _MAY_CAST and _OUT.search(joined):
         out |= BIT["outcast"]
     if hidden:
         out |= BIT["hidden"]
     if total >= 2:
         out |= BIT["several"]
-    if _TECHNICAL.search(joined):
-        out |= BIT["technical"]
-    if _REPORT.search(joined):
+    out |= hints & BIT["technical"]
+    if hints & _MAY_REPORT and _REPORT.search(joined):
         out |= BIT["report"]
     return out
 
@@ -387,7 +414,7 @@ class Model:
 
 
 def fit(documents: DataFrame, samples: DataFrame, text: str = "text", category: str = "category", sample_rows: int = 60_000, per_pattern: int = 2_000) -> Model:
-    """Label model over all sentences of documents; classifier on at most sample_rows of them and of the samples.
+    """Label model over all sentences of documents; classifier on about sample_rows of them at most and on the samples.
 
     The classifier's training sentences are drawn by a hash of text and place, per_pattern of each vote pattern (ten
     times as many of the silent ones); both bounds are parameters, as the counts under the label model are not sampled.
@@ -400,8 +427,10 @@ def fit(documents: DataFrame, samples: DataFrame, text: str = "text", category:
         words, hidden = reveal_all(r[0])
         known.append((words, votes(words, hidden), int(r[1] != "none")))
     label = LabelModel(counts, [(p, y) for _, p, y in known])
-    rates = {p: min(1.0, per_pattern * (10 if p in (0, BIT["technical"]) else 1) / n) for p, n in counts.items()}
-    drawn = some.mapInPandas(_training_rows(text, rates), "sentence string, pattern long").limit(sample_rows).collect()
+    wanted = {p: min(n, per_pattern * (10 if p in (0, BIT["technical"]) else 1)) for p, n in counts.items()}
+    share = min(1.0, sample_rows / max(1, sum(wanted.values())))
+    rates = {p: share * w / counts[p] for p, w in wanted.items()}
+    drawn = some.mapInPandas(_training_rows(text, rates), "sentence string, pattern long").collect()
     drawn.sort()  # the same sentences give the same model, however they were spread
     rows = []
     for s, p in drawn:
