@@ -59,6 +59,27 @@ def test_sections(spark):
     assert S.summaries(p).collect()[0]["page_nums"] == "1"
 
 
+def test_sections_end_at_other_sections_and_go_on(spark):
+    filler = "One sentence of the section tells what the animals of each group were given on that day.\n" * 4
+    pages = [
+        ("cut", 1, f"SUMMARY\n{filler}BODY WEIGHTS\nno change.\n{filler}RESULTS\nother text\n"),
+        ("short", 1, f"SUMMARY\n{filler}"),
+        ("short", 2, "All of the animals that were left alive had recovered by the end.\n"),
+        ("insert", 1, f"SUMMARY\nPage 4 of 9\n{filler}"),
+        ("insert", 2, f"BEST COPY\n{filler}"),
+        ("insert", 3, f"An insert.\n{filler}"),
+        ("insert", 4, f"Page 5 of 9\nThe last of it.\n{filler}"),
+        ("other", 1, f"SUMMARY\nPage 4 of 9\n{filler}"),
+        ("other", 2, f"Page 6 of 9\n{filler}"),
+        ("new", 1, f"SUMMARY\n{filler}"),
+        ("new", 2, "RESULTS\nAll of the animals that were left alive had recovered by the end.\n"),
+    ]
+    got = {r["study_id"]: r for r in S.find_sections(spark.createDataFrame(pages, "study_id string, page_num int, text string"), ["summary"]).collect()}
+    assert "BODY WEIGHTS\nno change." in got["cut"]["content"] and "RESULTS" not in got["cut"]["content"]
+    assert {k: r["continued_pages"] for k, r in got.items()} == {"cut": [], "short": [2], "insert": [4], "other": [], "new": []}
+    assert "The last of it." in got["insert"]["content"] and "BEST COPY" not in got["insert"]["content"] and got["insert"]["continued"]
+
+
 def test_context_and_prompt(spark):
     hits = spark.createDataFrame([("q", "s", 2, "second", "8"), ("q", "s", 1, "first", "7")], "question_id string, study_id string, rank int, content string, page_num string")
     title = spark.createDataFrame([("s", "title", "1")], "study_id string, content string, page_num string")
