@@ -13,14 +13,34 @@ from pagemill.functions import text as T
 MARK = r"\+\+\+([^+]+)\+\+\+"
 
 
-def context(hits: DataFrame, title_pages: DataFrame, summaries: DataFrame, corpus: list[str], qid: str = "question_id") -> DataFrame:
+def context(hits: DataFrame, title_pages: DataFrame, summaries: DataFrame, corpus: list[str], qid: str = "question_id", docs: DataFrame | None = None, doc: str = "doc_idx") -> DataFrame:
     """qid, corpus, context (array), retrieved_pages (array), length: title page, summary and hits by rank; nothing is dropped.
 
     hits: qid, corpus, rank, content, page_num; title_pages and summaries: corpus, content, page_num, at most one row each.
+    With docs (corpus, doc, content, page_num) hits have doc for content and page_num: a text then moves once a corpus
+    instead of once a question.
     """
+    if docs is not None:
+        return _context_of_docs(hits, docs, title_pages, summaries, corpus, qid, doc)
     found = hits.groupBy(qid, *corpus).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("content").alias("c"), F.col("page_num").cast("string").alias("p")))).alias("h"))
-    one = lambda df, name: df.select(*corpus, F.struct(F.col("content").alias("c"), F.col("page_num").cast("string").alias("p")).alias(name))
-    joined = found.join(one(title_pages, "t"), corpus, "left").join(one(summaries, "s"), corpus, "left")
+    joined = found.join(_one(title_pages, corpus, "t"), corpus, "left").join(_one(summaries, corpus, "s"), corpus, "left")
+    return _parts(joined, corpus, qid)
+
+
+def _one(df: DataFrame, corpus: list[str], name: str) -> DataFrame:
+    return df.select(*corpus, F.struct(F.col("content").alias("c"), F.col("page_num").cast("string").alias("p")).alias(name))
+
+
+def _context_of_docs(hits: DataFrame, docs: DataFrame, title_pages: DataFrame, summaries: DataFrame, corpus: list[str], qid: str, doc: str) -> DataFrame:
+    used = docs.join(hits.select(*corpus, doc).distinct(), [*corpus, doc])
+    texts = used.groupBy(*corpus).agg(F.collect_list(F.struct(F.col(doc).alias("d"), F.col("content").alias("c"), F.col("page_num").cast("string").alias("p"))).alias("_texts"))
+    texts = texts.join(_one(title_pages, corpus, "t"), corpus, "left").join(_one(summaries, corpus, "s"), corpus, "left")
+    ranks = hits.groupBy(qid, *corpus).agg(F.sort_array(F.collect_list(F.struct("rank", F.col(doc).alias("d")))).alias("_ranks"))
+    found = F.transform("_ranks", lambda x: F.get(F.filter("_texts", lambda y: y["d"] == x["d"]), F.lit(0)))
+    return _parts(ranks.join(texts, corpus).withColumn("h", found), corpus, qid)
+
+
+def _parts(joined: DataFrame, corpus: list[str], qid: str) -> DataFrame:
     parts = F.filter(F.concat(F.array("t", "s"), F.transform("h", lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p")))), lambda x: x.isNotNull())
     return joined.select(qid, *corpus, F.transform(parts, lambda x: x["c"]).alias("context"), F.transform(parts, lambda x: x["p"]).alias("retrieved_pages"), F.size(parts).alias("length"))
 

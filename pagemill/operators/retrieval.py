@@ -8,7 +8,7 @@ after fusion by the smaller one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.session import materialised
 
 K1, B = 1.5, 0.75
 POOL, TOP, RRF_K, BOOST = 15, 3, 60, 2.0
@@ -61,10 +62,10 @@ def query_terms(questions: DataFrame, query: str = "query", qid: str = "question
     return terms.join(weights, [qid, "term"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_idx", text: str = "content", qid: str = "question_id", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_idx", text: str = "content", qid: str = "question_id", k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
     """qid, corpus, doc, score (rounded to 6 digits) of the documents with any of the question's terms.
 
-    terms is what query_terms gives. Each token array is filtered to the questions' terms in the map stage, so that
+    terms is what query_terms gives; weights (qid, corpus, term, weight) are those of one corpus. Each token array is filtered to the questions' terms in the map stage, so that
     the shuffles see only matching postings.
     """
     asked = small(terms.select("term").distinct())
@@ -76,7 +77,11 @@ def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_i
     joined = posts.join(weighed, [*corpus, "term"]).join(stats, corpus)
     norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
     part = F.col("qtf") * F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
-    return joined.join(small(terms), "term").groupBy(qid, *corpus, doc).agg(F.round(F.sum(part), 6).alias("score"))
+    asking = joined.join(small(terms), "term")
+    if weights is not None:
+        own = weights.select(qid, *corpus, "term", F.col("weight").alias("_own"))
+        asking = asking.join(own, [qid, *corpus, "term"], "left").withColumn("weight", F.coalesce("_own", "weight"))
+    return asking.groupBy(qid, *corpus, doc).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def ranked(scored: DataFrame, by: list[str], doc: str = "doc_idx", most: int = POOL) -> DataFrame:
@@ -150,31 +155,35 @@ def rrf(signals: list[DataFrame], by: list[str], doc: str = "doc_idx", k: int =
     return out.where(F.col("score") >= threshold) if threshold is not None else out
 
 
-def keyword_weights(keywords: DataFrame, qid: str = "question_id", boost: float = BOOST) -> DataFrame:
-    """qid, term, weight of scored phrases (qid, phrase, kw_score): each of a phrase's words gets 1 + boost * score, at most."""
-    words = keywords.select(qid, F.explode(T.words_of(F.col("phrase"))).alias("term"), (F.lit(1.0) + F.lit(boost) * F.col("kw_score")).alias("w"))
-    return words.groupBy(qid, "term").agg(F.greatest(F.max("w"), F.lit(1.0)).alias("weight"))
+def keyword_weights(keywords: DataFrame, qid: str = "question_id", boost: float = BOOST, corpus: Sequence[str] = ()) -> DataFrame:
+    """qid, corpus, term, weight of scored phrases (qid, corpus, phrase, kw_score): each of a phrase's words gets 1 + boost * score, at most."""
+    words = keywords.select(qid, *corpus, F.explode(T.words_of(F.col("phrase"))).alias("term"), (F.lit(1.0) + F.lit(boost) * F.col("kw_score")).alias("w"))
+    return words.groupBy(qid, *corpus, "term").agg(F.greatest(F.max("w"), F.lit(1.0)).alias("weight"))
 
 
 def phrase_bonus(docs: DataFrame, keywords: DataFrame, corpus: list[str], doc: str = "doc_idx", text: str = "content", qid: str = "question_id", boost: float = BOOST) -> DataFrame:
     """qid, corpus, doc, bonus: boost * score of each phrase of several words that the text has verbatim.
 
-    keywords are a few phrases a question; the check is a substring test, set against them as a broadcast side.
+    keywords are a few phrases a question, or a question and corpus; the check is a substring test, set against them as
+    a broadcast side if they are few.
     """
-    phrases = keywords.where(F.col("phrase").contains(" ")).select(qid, "phrase", "kw_score")
+    own = [c for c in corpus if c in keywords.columns]
+    phrases = small(keywords.where(F.col("phrase").contains(" ")).select(qid, *own, "phrase", "kw_score"))
     low = docs.select(*corpus, doc, F.lower(text).alias("_low"))
-    hit = low.join(small(phrases), F.col("_low").contains(F.col("phrase")))
+    hit = (low.join(phrases, own) if own else low.crossJoin(phrases)).where(F.col("_low").contains(F.col("phrase")))
     return hit.groupBy(qid, *corpus, doc).agg(F.round(F.sum(F.lit(boost) * F.col("kw_score")), 6).alias("bonus"))
 
 
-def extract_keywords(questions: DataFrame, idfs: DataFrame, corpus: list[str], qid: str = "question_id", query: str = "query", semantic: DataFrame | None = None, top_fraction: float = 0.1) -> DataFrame:
+def extract_keywords(questions: DataFrame, idfs: DataFrame, corpus: list[str], qid: str = "question_id", query: str = "query", semantic: DataFrame | None = None, top_fraction: float = 0.1, largest: DataFrame | None = None) -> DataFrame:
     """qid, corpus, phrase, kw_score: the best candidates of each question in each corpus.
 
     score = 0.7 * semantic + 0.3 * mean idf / largest idf; a word that the corpus lacks counts 0. semantic gives qid,
-    phrase, cosine; without it the semantic part is 0. At least one candidate is kept.
+    phrase, cosine; without it the semantic part is 0. At least one candidate is kept. largest gives corpus, max_idf
+    where idfs lacks terms that no question has.
     """
     cands = questions.select(qid, F.posexplode(T.candidates(T.tokens(F.col(query)))).alias("ord", "phrase"))
-    largest = idfs.groupBy(*corpus).agg(F.max("idf").alias("max_idf"))
+    if largest is None:
+        largest = idfs.groupBy(*corpus).agg(F.max("idf").alias("max_idf"))
     words = small(cands).select(qid, "ord", "phrase", F.explode(F.split("phrase", " ")).alias("term"), F.size(F.split("phrase", " ")).alias("n"))
     known = words.join(idfs.join(small(words.select("term").distinct()), "term", "left_semi"), "term").groupBy(qid, *corpus, "ord", "phrase", "n").agg(F.sum("idf").alias("s"))
     every = small(cands).crossJoin(largest)
@@ -189,6 +198,23 @@ def extract_keywords(questions: DataFrame, idfs: DataFrame, corpus: list[str], q
     return kept.where(F.col("r") <= F.col("n_keep")).select(qid, *corpus, "phrase", "kw_score")
 
 
+def search_keywords(docs: DataFrame, questions: DataFrame, corpus: list[str], semantic: DataFrame, doc: str = "doc_idx", text: str = "content", order: str = "ord") -> DataFrame:
+    """question_id, corpus, phrase, kw_score: the keywords last stated, score 1, else the ones extracted in each corpus."""
+    asked = sticky_keywords(questions, order)
+    stated = asked.where("sticky is not null").select("question_id", F.explode(F.array_distinct("sticky")).alias("phrase"), F.lit(1.0).alias("kw_score"))
+    # a document is one row, so that its distinct tokens give df without its counts; of the terms only those of the
+    # questions are kept, and the least df for the largest idf
+    free = asked.where("sticky is null")
+    terms = small(free.select(F.explode(T.tokens(F.col("query"))).alias("term")).distinct().withColumn("_asked", F.lit(True)))
+    dfs = docs.select(*corpus, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy(*corpus, "term").agg(F.count("*").alias("df")).join(terms, "term", "left")
+    kept = dfs.groupBy(*corpus).agg(F.min("df").alias("least"), F.collect_list(F.when(F.col("_asked"), F.struct("term", "df"))).alias("ts"))
+    kept = materialised(docs.groupBy(*corpus).agg(F.count("*").alias("n")).join(kept, corpus, "left"))
+    idfs = kept.select(*corpus, "n", F.explode("ts").alias("t")).select(*corpus, "t.term", "t.df", idf(F.col("n"), F.col("t.df")).alias("idf"))
+    largest = kept.select(*corpus, F.coalesce(idf(F.col("n"), F.col("least")), F.lit(0.0)).alias("max_idf"))
+    found = extract_keywords(free, idfs, corpus, semantic=semantic, largest=largest)
+    return docs.select(*corpus).distinct().crossJoin(small(stated)).select(*found.columns).unionByName(found)
+
+
 def sticky_keywords(questions: DataFrame, order: str = "ord", keywords: str = "keywords") -> DataFrame:
     """questions with the keywords last stated at or before each; null until any are."""
     stated = F.when(F.size(keywords) >= 1, F.col(keywords))
@@ -198,11 +224,12 @@ def sticky_keywords(questions: DataFrame, order: str = "ord", keywords: str = "k
 def hybrid_search(docs: DataFrame, questions: DataFrame, corpus: list[str], doc_vectors: DataFrame, query_vectors: DataFrame, doc: str = "doc_idx", text: str = "content", keywords: DataFrame | None = None, k: int = TOP, pool: int = POOL, rrf_k: int = RRF_K, boost: float = BOOST, threshold: float | None = None) -> DataFrame:
     """question_id, corpus, doc, score, rank: keyword-aware BM25 fused with cosine ranks.
 
-    doc_vectors: corpus, doc, vector; query_vectors: question_id, vector; keywords: question_id, phrase, kw_score.
-    An empty corpus has no rows.
+    doc_vectors: corpus, doc, vector; query_vectors: question_id, vector; keywords: question_id, phrase, kw_score, with
+    corpus if each has its own. An empty corpus has no rows.
     """
-    terms = query_terms(questions, weights=keyword_weights(keywords, boost=boost) if keywords is not None else None)
-    scored = bm25(docs, terms, corpus, doc, text)
+    own = keywords is not None and set(corpus) <= set(keywords.columns)
+    weights = keyword_weights(keywords, boost=boost, corpus=corpus if own else ()) if keywords is not None else None
+    scored = bm25(docs, query_terms(questions, weights=None if own else weights), corpus, doc, text, weights=weights if own else None)
     if keywords is not None:
         extra = phrase_bonus(docs, keywords, corpus, doc, text, boost=boost)
         scored = scored.join(extra, ["question_id", *corpus, doc], "full").select("question_id", *corpus, doc, (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import classify as K
+from pagemill.session import materialised
 
 # Fixed values.
 TITLE_LEAST, TITLE_FIRST, CUT_LEAST, LONG_LINE, FEW_WORDS = 0.80, 7, 150, 10, 50
@@ -132,11 +133,14 @@ def find_sections(pages: DataFrame, targets: list[str], study: str = "study_id",
     named = F.exists("_h", lambda h: F.exists(F.array(*map(F.lit, low)), lambda t: F.lower(h).contains(t)))
     marked = pages.where(F.col(study).isNotNull() & F.col(page).isNotNull() & F.col(text).isNotNull()).select(F.col(study), F.col(page), F.col(text), K.headings(F.col(text)).alias("_h"))
     marked = marked.withColumn("_hit", named).withColumn("_toc", F.when(F.col("_hit"), K.is_toc(F.col(text), titles=F.col("_h"))).otherwise(False))
+    # only studies with such a heading are brought together
+    marked = materialised(marked)
+    marked = marked.join(marked.where("_hit").select(study).distinct(), study, "left_semi")
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = zip(pdf[page].tolist(), pdf[text], pdf["_h"].map(list), pdf["_toc"], strict=True)
-        found = study_sections(list(rows), targets) if pdf["_hit"].any() else []
+        found = study_sections(list(rows), targets)
         return pd.DataFrame([(pdf[study].iloc[0], *f) for f in found], columns=[study, page, "title", "content", "continued_pages"])
 
     out = marked.groupBy(study).applyInPandas(fold, f"{study} {kind[study]}, {page} {kind[page]}, title string, content string, continued_pages array<{kind[page]}>")

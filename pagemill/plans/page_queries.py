@@ -17,7 +17,7 @@ from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
 from pagemill.plans import retrieval_queries as RQ
-from pagemill.session import spread, table
+from pagemill.session import materialised, spread, table
 from pagemill.sources import sinks
 from pagemill.streaming import ingest
 
@@ -152,16 +152,29 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of every question's context in every study: its first document as title page, then the hits."""
+    """The smaller job that its SQL states: a study's first document as title page, then BM25 hits; full_context has the whole."""
     firsts = _corpus(spark, d).groupBy("study_id").agg(F.min_by(F.struct("content", "page_num"), "doc_idx").alias("f")).select("study_id", "f.content", "f.page_num")
     none = firsts.where("false")
     out = A.context(_hits(spark, d), firsts, none, ["study_id"])
     return out.select("question_id", "study_id", F.array_join("retrieved_pages", ",").alias("pages"), "length")
 
 
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """Title page, summary and hybrid hits of every question in every study."""
+    docs = _corpus(spark, d).where("content is not null")
+    hits = materialised(RQ.full_search(docs, table(spark, d, "questions"), ["study_id"]))
+    pages = _pages(spark, d)
+    return A.context(hits, S.title_pages(pages), S.summaries(pages).withColumnRenamed("page_nums", "page_num"), ["study_id"], docs=docs)
+
+
+def full_context(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of every question's context in every study: title page, summary and hybrid hits."""
+    return _context(spark, d).select("question_id", "study_id", F.array_join("retrieved_pages", ",").alias("pages"), "length")
+
+
 def prompt_text(spark: SparkSession, d: str) -> DataFrame:
-    firsts = _corpus(spark, d).groupBy("study_id").agg(F.min_by(F.struct("content", "page_num"), "doc_idx").alias("f")).select("study_id", "f.content", "f.page_num")
-    found = A.context(_hits(spark, d), firsts, firsts.where("false"), ["study_id"]).join(F.broadcast(table(spark, d, "questions").select("question_id", "query")), "question_id")
+    """Prompts over the full contexts; without guides, since no table is a handbook."""
+    found = _context(spark, d).join(F.broadcast(table(spark, d, "questions").select("question_id", "query")), "question_id")
     return found.select("question_id", "study_id", F.md5(A.prompt(F.col("query"), F.col("context"), F.lit(None).cast("string"))).alias("prompt_md5"))
 
 
@@ -211,7 +224,7 @@ QUERIES = {
     "normalised_newlines": normalised_newlines, "isolated_page_of": isolated_page_of, "toc_line_counts": toc_line_counts, "without_toc_lines": without_toc_lines, "without_junk_lines": without_junk_lines, "mended_hyphens": mended_hyphens,
     "mended_spacing": mended_spacing, "rejoined_lines": rejoined_lines, "tidied": tidied, "clean_text": clean_text, "plain_text": plain_text, "table_score": table_score, "toc_flag": toc_flag, "looks_like_toc": looks_like_toc,
     "preface_score": preface_score, "printed_ids": printed_ids, "summary_flag": summary_flag, "introduction_flag": introduction_flag,
-} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, found_sections, corpus_documents, context_assembly, prompt_text, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
+} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, found_sections, corpus_documents, context_assembly, full_context, prompt_text, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 

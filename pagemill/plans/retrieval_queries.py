@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import retrieval as R
-from pagemill.session import spread, table
+from pagemill.session import materialised, spread, table
+from pagemill.sources import readers
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +99,18 @@ def rrf_fusion_top3(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid_search(docs, questions, ["source"], doc_vectors, query_vectors)
 
 
+def full_search(docs: DataFrame, questions: DataFrame, corpus: list[str]) -> DataFrame:
+    """Hybrid top 3 with every signal: keywords (stated or extracted), phrase bonus, and a vector of every text by the embedder."""
+    asked = questions.withColumn("ord", F.regexp_extract("question_id", r"(\d+)", 1).cast("int"))
+    query_vectors = readers.embed(questions.select("question_id", "query"), "query").select("question_id", "vector")
+    phrases = questions.select("question_id", F.explode(T.candidates(T.tokens(F.col("query")))).alias("phrase"))
+    near = readers.embed(phrases, "phrase", "_v").join(query_vectors, "question_id")
+    semantic = materialised(near.select("question_id", "phrase", T.dot(F.col("_v"), F.col("vector")).alias("cosine")))
+    keywords = materialised(R.search_keywords(docs, asked, corpus, semantic))
+    doc_vectors = readers.embed(docs.select(*corpus, "doc_idx", "content"), "content").select(*corpus, "doc_idx", "vector")
+    return R.hybrid_search(docs, questions, corpus, doc_vectors, query_vectors, keywords=keywords)
+
+
 def score_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The fused hits of at least 0.02."""
     return rrf_fusion_top3(spark, d).where(F.col("score") >= 0.02)

@@ -89,6 +89,21 @@ def test_context_and_prompt(spark):
     assert readers.answer(p).collect()[0]["output"]
 
 
+def test_full_context(spark, tmp_path):
+    """A study's context has its summary, and its hits come from keywords and vectors too."""
+    filler = "One sentence of the section tells what the animals of each group were given on that day.\n" * 4
+    meta = "struct<page_num:string,title:string>"
+    pages = [(1, "s", f"SUMMARY\n{filler}", ("3", None)), (2, "s", f"RESULTS\n{filler}", ("4", None))]
+    spark.createDataFrame(pages, f"page_key long, study_id string, content string, metadata {meta}").write.parquet(str(tmp_path / "page_docs.parquet"))
+    docs = [(i, "s", x, (str(i), None)) for i, x in enumerate([None, "lot purity was 99 %", "the batch of the lot", "certificate of purity is kept", "purity"], 1)]
+    spark.createDataFrame(docs, f"doc_key long, study_id string, content string, metadata {meta}").write.parquet(str(tmp_path / "docs.parquet"))
+    spark.createDataFrame([("question 1", "Which purity has the batch of the lot?", []), ("question 2", "Which purity has the lot?", ["certificate of purity"])], "question_id string, query string, keywords array<string>").write.parquet(str(tmp_path / "questions.parquet"))
+    got = {r["question_id"]: r for r in registry.queries()["full_context"](spark, str(tmp_path)).collect()}
+    assert {k: (r["length"], r["pages"].split(",")[0]) for k, r in got.items()} == {"question 1": (4, "3"), "question 2": (4, "3")}
+    assert "4" in got["question 2"]["pages"].split(",")[1:] and "1" not in got["question 2"]["pages"].split(",")
+    assert registry.queries()["prompt_text"](spark, str(tmp_path)).count() == 2
+
+
 def test_guides():
     titles = ["Dermal Guide", "Oral Guide"]
     assert A.chosen_title("Dermal Guide or rather Oral Guide", titles) == "Oral Guide"
