@@ -13,6 +13,7 @@ from pagemill.functions import text as T
 from pagemill.operators import assemble as A
 from pagemill.operators import classify as K
 from pagemill.operators import cleaning as C
+from pagemill.operators import corpora as B
 from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
@@ -132,6 +133,22 @@ def corpora_route(spark: SparkSession, d: str) -> DataFrame:
     return G.corpus_route(_pages(spark, d), boundary_scores(spark, d))
 
 
+def _corpora(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = materialised(_pages(spark, d).where("study_id is not null and page_num is not null"))
+    scores = materialised(boundary_scores(spark, d))
+    return B.report_corpora(pages, scores, G.section_spans(pages), materialised(G.corpus_route(pages, scores)))
+
+
+def report_corpora(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of every corpus of every report: chunks, target sections with their shared ones, or the whole report."""
+    return _corpora(spark, d)[0].select("study_id", "route", "corpus", "label", "doc", "page_num", "title", "content")
+
+
+def corpus_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Title page and summary of every corpus."""
+    return _corpora(spark, d)[1].select("study_id", "route", "corpus", "label", "title_page_num", "summary_pages", "summary")
+
+
 def found_sections(spark: SparkSession, d: str) -> DataFrame:
     return S.find_sections(_pages(spark, d), ["histology", "pathology", "haematology", "summary"])
 
@@ -224,7 +241,7 @@ QUERIES = {
     "normalised_newlines": normalised_newlines, "isolated_page_of": isolated_page_of, "toc_line_counts": toc_line_counts, "without_toc_lines": without_toc_lines, "without_junk_lines": without_junk_lines, "mended_hyphens": mended_hyphens,
     "mended_spacing": mended_spacing, "rejoined_lines": rejoined_lines, "tidied": tidied, "clean_text": clean_text, "plain_text": plain_text, "table_score": table_score, "toc_flag": toc_flag, "looks_like_toc": looks_like_toc,
     "preface_score": preface_score, "printed_ids": printed_ids, "summary_flag": summary_flag, "introduction_flag": introduction_flag,
-} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, found_sections, corpus_documents, context_assembly, full_context, prompt_text, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
+} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, report_corpora, corpus_heads, found_sections, corpus_documents, context_assembly, full_context, prompt_text, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 

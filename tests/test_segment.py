@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.operators import assemble as A
+from pagemill.operators import corpora as B
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
 from pagemill.plans import registry
@@ -89,6 +90,24 @@ def test_context_and_prompt(spark):
     assert readers.answer(p).collect()[0]["output"]
 
 
+def test_report_corpora(spark):
+    """Target sections with all shared ones, chunks by their ranges, and the whole report without either."""
+    titles = ["SUMMARY", "MAMMALIAN TOXICOLOGY -> Acute studies", "MAMMALIAN TOXICOLOGY -> Summary", "RESIDUES -> Summary", "TOXICITY -> Repeated doses"]
+    spans = spark.createDataFrame([("i", n, 0, t, n + 1, f"text {n}") for n, t in enumerate(titles)] + [("w", 0, 0, "SUMMARY", 1, "x")], "study_id string, ord int, sub int, title string, page_num int, content string")
+    pages = spark.createDataFrame([(s, p, f"page {p} of {s}") for s, n in (("i", 5), ("w", 2), ("c", 4)) for p in range(1, n + 1)], "study_id string, page_num int, text string")
+    scores = pages.select("study_id", "page_num", F.lit(0.0).alias("boundary_score"))
+    routes = spark.createDataFrame([("i", "integrated"), ("w", "integrated"), ("c", "chunks")], "study_id string, route string")
+    documents, corpora = B.report_corpora(pages, scores, spans, routes)
+    got = {}
+    for r in documents.orderBy("study_id", "corpus", "doc").collect():
+        got.setdefault((r["study_id"], r["route"], r["corpus"], r["label"]), []).append(r["content"])
+    assert got["i", "integrated", 1, "MAMMALIAN TOXICOLOGY_Acute studies"] == ["text 0", "text 2", "text 1"]
+    assert got["i", "integrated", 2, "TOXICITY_Repeated doses"] == ["text 0", "text 2", "text 4"]
+    assert got["w", "whole", 1, None] == ["page 1 of w", "page 2 of w"] and {k[1] for k in got if k[0] == "c"} <= {"chunks"}
+    heads = {(r["study_id"], r["corpus"]): r for r in corpora.collect()}
+    assert heads["i", 1]["summary"] == "text 2" and heads["i", 2]["summary_pages"] == "3" and heads["w", 1]["summary"] is None
+
+
 def test_full_context(spark, tmp_path):
     """A study's context has its summary, and its hits come from keywords and vectors too."""
     filler = "One sentence of the section tells what the animals of each group were given on that day.\n" * 4
