@@ -145,13 +145,15 @@ def _refuses(sentence: str) -> bool:
     return False
 
 
-_FIRST = re.compile(r"[^.!?\n]*[.!?]?")
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 
 
 def is_refusal(text: str) -> bool:
-    first = _FIRST.match(text.lstrip())[0]
-    low = first.lower()
-    return any(c in low for c in _CUES) and _refuses(first[:400])
+    """Whether any sentence that has a cue refuses."""
+    low = text.lower()
+    if not any(c in low for c in _CUES):
+        return False
+    return any(_refuses(s) for s in _SENTENCE.findall(text) if any(c in s.lower() for c in _CUES))
 
 
 @lru_cache(maxsize=5000)
@@ -168,11 +170,7 @@ def is_copy(question: str | None, text: str) -> bool:
     if not question:
         return False
     q, words, shingles = _question(question)
-    if len(q) < 4 or len(text) > 4 * len(question) + 60:
-        return False
-    # most of a copy's first words are the question's: others needn't be taken apart
-    opening = text[:120].lower().split(None, 6)[:6]
-    if sum(w.strip("\"'(),.:?") in words for w in opening) < min(3, len(opening)):
+    if len(q) < 4:
         return False
     a = tokens(text)
     at = 0

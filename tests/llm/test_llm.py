@@ -259,3 +259,12 @@ def test_abuse_is_found_and_usage_is_not(spark):
     assert len(scores) == len(docs) and all(0 <= s <= 1 for s in scores.values())
     assert all((s >= abuse.THRESHOLD) == (200 <= k < 900) for k, s in scores.items())
     assert abuse.score(df.where("false"), abuse.fit(df, samples)).count() == 0
+
+
+def test_pairs_judge_whole_texts():
+    from pagemill.llm import pairs
+
+    question = "Which doses were given to the male rats of the study?"
+    assert pairs.is_refusal("Thank you for your question. I'm sorry, but I can't help with that request.")
+    assert not pairs.is_refusal("Thank you for your question. The rats were given 5 mg/kg.")
+    assert pairs.is_copy(question, " ".join([question] * 8)) and not pairs.is_copy(question, "The rats were given 5 mg/kg. " * 8)
