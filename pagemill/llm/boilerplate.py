@@ -132,7 +132,7 @@ def _groups(keys: list, sources: list, texts: list) -> Iterator[tuple[list, list
                 end = text.find("\n", at + SEGMENT)
                 end = len(text) if end < 0 else end
                 part = text[at:end]
-                yield [key], [source], [part], before, end >= len(text)
+                yield [key], [source], [part], before, end + 1 >= len(text)  # a last line feed begins no segment
                 before += part.count("\n") + 1
                 at = end + 1
             continue

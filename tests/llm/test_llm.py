@@ -268,3 +268,13 @@ def test_pairs_judge_whole_texts():
     assert pairs.is_refusal("Thank you for your question. I'm sorry, but I can't help with that request.")
     assert not pairs.is_refusal("Thank you for your question. The rats were given 5 mg/kg.")
     assert pairs.is_copy(question, " ".join([question] * 8)) and not pairs.is_copy(question, "The rats were given 5 mg/kg. " * 8)
+
+
+def test_long_texts_that_end_in_a_line_feed():
+    from pagemill.llm import boilerplate as B
+
+    text = "x" * (B.SEGMENT + 200_000) + "\n"
+    groups = list(B._groups([1, 2], ["a", "b"], [text, "short"]))
+    assert [(g[0], g[4]) for g in groups] == [([1], True), ([2], True)]
+    lines = "\n".join(["y" * 999] * 1500) + "\n"
+    assert [g[4] for g in B._groups([1], ["a"], [lines])] == [False, True]
