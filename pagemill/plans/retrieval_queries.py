@@ -90,7 +90,7 @@ def cosine_top15(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion_top3(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid top 3 of every question in every source; document and question n have vector n."""
+    """BM25 and cosine ranks fused, as the SQL states: no keywords, vectors only where document n has vector n; hybrid_top3 has all."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
     docs = _documents(spark, d)
     doc_vectors = docs.select("source", "doc_idx").join(vectors, F.col("doc_idx") == F.col("vec_id")).select("source", "doc_idx", "vector")
@@ -111,12 +111,17 @@ def full_search(docs: DataFrame, questions: DataFrame, corpus: list[str]) -> Dat
     return R.hybrid_search(docs, questions, corpus, doc_vectors, query_vectors, keywords=keywords)
 
 
+def hybrid_top3(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid top 3 of every question in every source with all signals, for all documents."""
+    return full_search(_documents(spark, d), table(spark, d, "questions"), ["source"])
+
+
 def score_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The fused hits of at least 0.02."""
     return rrf_fusion_top3(spark, d).where(F.col("score") >= 0.02)
 
 
-QUERIES = {f.__name__: f for f in (token_counts, doc_lengths, corpus_stats, doc_freq_idf, max_idf, bm25_scores, bm25_top3, bm25_weighted, ngram_candidates, keyword_idf_scores, phrase_bonus, sticky_keywords, cosine_top15, rrf_fusion_top3, score_threshold)}
+QUERIES = {f.__name__: f for f in (token_counts, doc_lengths, corpus_stats, doc_freq_idf, max_idf, bm25_scores, bm25_top3, bm25_weighted, ngram_candidates, keyword_idf_scores, phrase_bonus, sticky_keywords, cosine_top15, rrf_fusion_top3, hybrid_top3, score_threshold)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 

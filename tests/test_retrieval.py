@@ -77,3 +77,14 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "corpus string, doc_idx int, content string")
     q = spark.createDataFrame([("q", "x")], "question_id string, query string")
     assert R.bm25(docs, R.query_terms(q), ["corpus"]).count() == 0
+
+
+def test_hybrid_with_keywords_for_all_documents(spark, tmp_path):
+    """A document without a stored vector comes up by its vector and by a stated phrase."""
+    from pagemill.plans import registry
+
+    texts = ["the lot of the batch", "purity purity", "which lot of rats", "certificate of purity for the lot", "nothing here"]
+    spark.createDataFrame([(9000 + i, "s", x) for i, x in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("question 1", "Which purity has the lot?", ["certificate of purity"])], "question_id string, query string, keywords array<string>").write.parquet(str(tmp_path / "questions.parquet"))
+    got = registry.queries()["hybrid_top3"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert len(got) == 3 and got[0]["doc_idx"] == 9003 and got[0]["score"] > 1 / 61
