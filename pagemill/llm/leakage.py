@@ -1,9 +1,10 @@
-"""Evaluation texts in a corpus: pigeonhole pieces, exact piece hits, verification by Myers' bit-parallel distance.
+"""Evaluation texts in a corpus: pigeonhole pieces, exact piece hits, longest exact runs; Myers' distance beside them.
 
 Words are runs of letters or digits, case aside. An item is cut into pieces of piece_words words; by the pigeonhole
 principle every run of at least 2 * piece_words - 1 words of an item holds one of its pieces whole, so a document that
-shares such a run has an exact piece hit. Hits are extended to their longest run of equal words, and an item's distance
-to the document (edits of words, free ends in the document) is found by Myers' algorithm within an error budget.
+shares such a run has an exact piece hit. Hits are extended to their longest run of equal words, and its length alone
+decides. An item's distance to the document (edits of words, free ends in the document) is found by Myers' algorithm and
+only reported: there is no error budget, and an item copied with an edit in each such run has no row.
 """
 
 from __future__ import annotations
