@@ -1,12 +1,14 @@
 """Oversized items cut into pieces under a limit, at natural boundaries, with an exact overlap.
 
-The text is read in ranges with halos: each worker notes the natural boundaries of its range and the range's size;
-prefix sums of the sizes give every boundary its place in the whole, one fold over the (small) boundary table plans the
-cuts, and pieces are emitted by offset. A file is read by byte ranges (seek and read), never as a whole.
+Rows of a table are planned in memory: a long one has its boundaries detected in ranges with halos, but its ranges are
+joined again in one task that plans the cuts. No size of a range is emitted or summed. Files (plan_files, read_pieces) are
+read by byte ranges (seek and read), never as a whole, and one fold over a file's boundary table plans the cuts; this path
+knows limits in bytes alone and no query reaches it.
 
 Sizes count code points ("chars"), UTF-8 bytes ("bytes") or words ("words": runs of anything but blank, tab, CR, LF).
-Only the best boundary of each slot (a quarter of the room between overlap and limit) is kept, so that the boundary
-table grows with the number of pieces, not with that of the words.
+Of a file only the last best boundary of each slot (a quarter of the room between overlap and limit) is kept, so that the
+boundary table grows with the number of pieces, not with that of the words; a cut can thereby miss a boundary as good
+before the limit if its slot has another behind the limit.
 """
 
 from __future__ import annotations
