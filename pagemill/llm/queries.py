@@ -30,7 +30,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split(table(spark, d, "docs"), table(spark, d, "split_profiles"))
+    return _p3(splitting.split(table(spark, d, "docs"), table(spark, d, "split_profiles")))
+
+
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of p3_pieces, with the ranges of every text of more than 4,096 code points spread over all workers."""
+    return _p3(splitting.split(table(spark, d, "docs"), table(spark, d, "split_profiles"), range_chars=2048, spread_chars=4096))
+
+
+def _p3(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_key", "piece_no", "n_pieces", "piece_start", "piece_end", "content", "metadata.page_num", "metadata.title", "metadata.profile")
 
 
@@ -72,7 +80,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m

@@ -106,51 +106,98 @@ def test_scanned_pages(spark):
 # ------------------------------------------------------------------------------------------------ 3
 
 
-@given(st.text("ab .\n\té🐀", max_size=300), st.sampled_from(["chars", "bytes", "words"]), st.integers(4, 60), st.integers(0, 20))
+UNITS = st.sampled_from(["chars", "bytes", "words"])
+
+
+@given(st.text("ab .\n\té🐀", max_size=300), UNITS, st.integers(1, 60), st.integers(0, 70))
 @settings(max_examples=400, deadline=None)
 def test_pieces_keep_limit_and_cover_the_text(text, unit, most, overlap):
     plan = splitting.plan(text, unit, most, overlap)
     assert plan[0][1] == 0 and plan[-1][2] == len(text)
     for (_, s, e, _), (_, s2, e2, _) in zip(plan, plan[1:]):
-        assert s < s2 <= e < e2
+        assert s2 <= e < e2
+        # exact but where the overlap would leave no room for one more code point
+        own = splitting.size(text[s2:e], unit)
+        assert own <= overlap
+        if unit != "bytes" and overlap < most:
+            assert own == min(overlap, splitting.size(text[:e], unit))
     for _, s, e, _ in plan:
-        assert splitting.size(text[s:e], unit) <= most
-    assert (len(plan) > 1) == (splitting.size(text, unit) > most)
+        assert splitting.size(text[s:e], unit) <= most or e - s == 1
+    assert (len(plan) > 1) == (splitting.size(text, unit) > most and len(text) > 1)
+
+
+def whole_exits(text, unit, most, overlap, step):
+    """The plan by ranges, stitched: each range is seen with halos only."""
+    import pandas as pd
+
+    rows, n = [], len(text)
+    stretches = {}
+    for no in range(-(-n // step)):
+        begin, end, wide = no * step, min(n, no * step + step), 1
+        while True:
+            a = max(0, begin - min(overlap, most) * wide - 2 * splitting.HALO)
+            s = splitting.Stretch(text[a : end + most * 2 * wide + 4 * splitting.HALO], unit, most, overlap, a, a == 0, a + len(text[a : end + most * 2 * wide + 4 * splitting.HALO]) == n)
+            units, cuts = splitting._noted(s, begin, end)
+            if cuts is not None:
+                break
+            wide *= 4
+        stretches[no] = (s, end)
+        rows.append((1, no, wide, units, cuts))
+    pdf = splitting._stitch(step)(pd.DataFrame(rows, columns=["_item", "_no", "factor", "units", "cuts"]))
+    assert pdf["n_units"][0] == splitting.size(text, unit) or unit == "words"
+    return [p for x in pdf["spans"][0] for p in splitting._emitted(stretches[x["no"]][0], x["entry"], stretches[x["no"]][1])], pdf["n_pieces"][0]
+
+
+@given(st.lists(st.sampled_from(["word ", "end. ", "\n", "\n\n", "\r\n", "é, ", "。", "x" * 90, " " * 150, "🐀🐀", "\n" + " " * 70 + "\n"]), min_size=1, max_size=120), UNITS, st.integers(1, 400), st.integers(0, 90), st.integers(40, 500))
+@settings(max_examples=300, deadline=None)
+def test_ranges_are_stitched_to_the_plan_of_the_whole(parts, unit, most, overlap, step):
+    text = "".join(parts)
+    want = [(s, e, text[s:e]) for s, e, _ in splitting.Stretch(text, unit, most, overlap).path(0, len(text) + 1)]
+    assert [(s, e, text[s:e]) for _, s, e, _ in splitting.plan(text, unit, most, overlap, step)] == want
+    assert whole_exits(text, unit, most, overlap, step) == (want, len(want))
 
 
 def test_overlap_is_exact_and_cuts_are_natural():
     text = "\n\n".join("word " * 30 for _ in range(20))
     plan = splitting.plan(text, "chars", 400, 50)
     for (_, _, e, kind), (_, s, _, _) in zip(plan, plan[1:]):
-        assert e - s == 50 and kind >= 0
-
-
-def test_ranges_give_the_plan_of_the_whole(spark):
-    text = "".join(RNG.choice(["word ", "end. ", "\n", "\n\n", "é, "]) for _ in range(3000))
-    docs = spark.createDataFrame([(1, text, None), (2, None, "p"), (3, "", "p"), (4, "x" * 100, "p"), (5, "x" * 101, "p")], "doc_key long, content string, profile string").selectExpr("doc_key", "content", "struct(profile) as metadata", "1 as piece_no", "2 as is_default")
-    profiles = spark.createDataFrame([("p", "chars", 100, 10, False), ("d", "words", 50, 5, True)], "profile string, size_unit string, max_size int, overlap_size int, is_default boolean")
-    from pyspark.sql import functions as F
-
-    sized = splitting.with_profiles(docs, profiles, F.col("metadata.profile"))
-    whole = {r[0]: r[1] for r in splitting.plan_pieces(sized, "doc_key", "content").collect()}
-    ranged = {r[0]: r[1] for r in splitting.plan_pieces(sized, "doc_key", "content", range_chars=700).collect()}
-    assert whole == ranged and set(whole) == {1, 5}
+        assert e - s == 50 and kind == splitting.PARAGRAPH
+    # an overlap of more than half the limit is kept
+    for (_, _, e, _), (_, s, _, _) in zip(plan := splitting.plan("x" * 90, "chars", 20, 15), plan[1:]):
+        assert e - s == 15
+
+
+def test_ranges_of_a_table_give_the_pieces_of_whole_rows(spark):
+    text = "".join(RNG.choice(["word ", "end. ", "\n", "\n\n", "é, ", "🐀"]) for _ in range(3000))
+    rows = [(1, text, None), (2, None, "p"), (3, "", "p"), (4, "x" * 100, "p"), (5, "x" * 101, "p"), (None, text, "b"), (6, "y" * 4000, "b"), (7, "long" * 2000 + " " + text, "d"), (5, "z" * 150, "none")]
+    docs = spark.createDataFrame(rows, "doc_key long, content string, profile string").selectExpr("doc_key", "content", "struct(profile) as metadata", "1 as piece_no", "2 as is_default")
+    profiles = spark.createDataFrame([("p", "chars", 100, 10, False), ("d", "words", 50, 5, True), ("b", "bytes", 90, 70, False)], "profile string, size_unit string, max_size int, overlap_size int, is_default boolean")
+    whole = sorted(map(str, splitting.split(docs, profiles).collect()))
+    ranged = sorted(map(str, splitting.split(docs, profiles, range_chars=700, spread_chars=120).collect()))
+    assert whole == ranged
     pieces = splitting.split(docs, profiles).collect()
-    assert {r["doc_key"] for r in pieces} == {1, 2, 3, 4, 5}
+    assert {r["doc_key"] for r in pieces} == {1, 2, 3, 4, 5, 6, 7, None}
     own = sorted((r for r in pieces if r["doc_key"] == 1), key=lambda r: r["piece_no"])
     assert all(text[r["piece_start"] : r["piece_end"]] == r["content"] for r in own) and all(splitting.size(r["content"], "words") <= 50 for r in own)
+    for how in ({}, {"range_chars": 700, "spread_chars": 120}):
+        assert sorted(r[0] or 0 for r in splitting.oversized(docs, profiles, **how).collect()) == [0, 1, 5, 6, 7]
+    assert splitting.split(docs.where("false"), profiles).count() == splitting.oversized(docs.where("false"), profiles).count() == 0
 
 
-def test_giant_files_by_ranges(spark, tmp_path):
-    text = "".join(RNG.choice(["wörd ", "end. ", "\n", "\n\n"]) for _ in range(4000))
-    path = tmp_path / "giant.txt"
+@pytest.mark.parametrize("unit, most, overlap", [("bytes", 1000, 100), ("chars", 700, 50), ("words", 90, 9)])
+def test_giant_files_by_ranges(spark, tmp_path, unit, most, overlap):
+    text = "".join(RNG.choice(["wörd ", "end. ", "\n", "\n\n", "🐀"]) for _ in range(4000)) + "ü" * 3000
+    path, empty = tmp_path / "giant.txt", tmp_path / "empty.txt"
     path.write_bytes(data := text.encode())
-    plan = splitting.plan_files(spark, [(str(path), len(data))], 1000, 100, range_bytes=3000)
-    rows = sorted(splitting.read_pieces(plan).collect(), key=lambda r: r["piece_no"])
-    assert rows[0]["start"] == 0 and rows[-1]["end"] == len(data) and len(rows) > 5
+    empty.write_bytes(b"")
+    got = splitting.split_files(spark, [(str(path), len(data)), (str(empty), 0)], unit, most, overlap, range_bytes=3000).collect()
+    rows = sorted((r for r in got if r["path"] == str(path)), key=lambda r: r["piece_no"])
+    assert [(r["start"], r["end"], r["content"]) for r in got if r["path"] == str(empty)] == [(0, 0, "")]
+    assert rows[0]["start"] == 0 and rows[-1]["end"] == len(data) and [r["piece_no"] for r in rows] == list(range(rows[0]["n_pieces"]))
     for a, b in zip(rows, rows[1:]):
-        assert a["end"] - b["start"] == 100 and a["end"] - a["start"] <= 1000
-    assert "".join(r["content"] for r in rows).count("�") == 0
+        assert splitting.size(data[b["start"] : a["end"]].decode(), unit) in ((overlap,) if unit != "bytes" else range(overlap - 3, overlap + 1)) or unit == "words"
+    for r in rows:
+        assert splitting.size(r["content"], unit) <= most and data[r["start"] : r["end"]].decode() == r["content"]
 
 
 # ------------------------------------------------------------------------------------------------ 5
