@@ -50,6 +50,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
 
+def p6_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of p6_ids, with every text of more than 300 code points by leaves and joins of all workers."""
+    return encoding.encode_corpus(table(spark, d, "documents"), leaf_chars=300)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -80,7 +85,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p6_tree": p6_tree, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m

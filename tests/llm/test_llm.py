@@ -252,14 +252,60 @@ def test_lcs(a, b):
 # ------------------------------------------------------------------------------------------------ 6
 
 
+CODEC = encoding.Codec(*encoding.read_vocabulary())
+
+
+def whole_ids(text):
+    return CODEC.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def tree_ids(text, cuts):
+    places = [0, *sorted(c % (len(text) + 1) for c in cuts), len(text)]
+    return (CODEC.tree([CODEC.codes(text[a:b]) for a, b in zip(places, places[1:])]) >> 1).tolist()
+
+
+PARTS = st.sampled_from(["word", " word", "don't", "'s", "'", "'re", "  ", "\n\n", "\n", "é", "🐀", "42", "...", "\t", "x", "!!'", "'ll", "日本", " ", "1", "aaaa", "abab", "the", "re", "\u3000", "ﷺ"])
+
+
+@given(st.lists(PARTS, max_size=60), st.lists(st.integers(0, 10**6), max_size=6))
+@settings(max_examples=1500, deadline=None)
+def test_tree_of_mixed_text(parts, cuts):
+    text = "".join(parts)
+    assert tree_ids(text, cuts) == whole_ids(text)
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "aeinrst", "0123456789", "!?.,'", "é日本🐀", " ", " \n", "'s", "-="])
+def test_tree_of_unbroken_text(alphabet, monkeypatch):
+    monkeypatch.setattr(encoding, "LIMIT", 256)
+    for n in (1, 7, 300, 3000, 9001):
+        text = "".join(RNG.choices(alphabet, k=n))
+        for leaves in (2, 3, 8):
+            assert tree_ids(text, [RNG.randint(0, n) for _ in range(leaves - 1)]) == whole_ids(text)
+    text = (alphabet * 20_000)[:20_000]
+    assert tree_ids(text, [997 * k for k in range(1, 20)]) == whole_ids(text)
+
+
+def test_a_million_pairs_of_letters_need_small_windows():
+    text, seen = "ab" * 10**6, []
+    codes = [CODEC.codes(text[k : k + 250_001]) for k in range(0, len(text), 250_001)]
+    plain = CODEC.codes
+    CODEC.codes = lambda t: seen.append(len(t)) or plain(t)
+    try:
+        assert (CODEC.tree(codes) >> 1).tolist() == whole_ids(text)
+    finally:
+        CODEC.codes = plain
+    assert max(seen) < 1000
+
+
 def test_ids_equal_those_of_the_whole_text(spark):
-    path = encoding.tokenizer_path()
-    texts = ["", None, " ", "plain text", "a" * 500, " " * 300 + "x", "".join(RNG.choice(["word ", "don't ", "  ", "\n\n", "é", "🐀", "42", "...", "\t", "x"]) for _ in range(900)), "wort " * 400, "<|endoftext|> is text"]
-    df = spark.createDataFrame([(i % 7, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    got = sorted((r["doc_id"], tuple(r["ids"])) for r in encoding.encode_corpus(df, leaf_chars=100).collect())
-    tok = encoding.load(path)
-    want = sorted((i % 7, tuple(tok.encode(t, add_special_tokens=False).ids) if t else ()) for i, t in enumerate(texts))
-    assert got == want
+    texts = ["", None, " ", "plain text", "a" * 5000, " " * 300 + "x", "".join(RNG.choice(["word ", "don't ", "  ", "\n\n", "é", "🐀", "42", "...", "\t", "x"]) for _ in range(900)), "wort " * 400, "<|endoftext|> is text", "ab" * 4000]
+    df = spark.createDataFrame([(i % 7 or None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    want = sorted((i % 7, tuple(whole_ids(t)) if t else ()) for i, t in enumerate(texts))
+    for leaf_chars in (100, 100_000):
+        assert sorted((r["doc_id"] or 0, tuple(r["ids"])) for r in encoding.encode_corpus(df, leaf_chars=leaf_chars).collect()) == want
+    slow = encoding.Codec(encoding.read_vocabulary()[0], None)
+    assert slow.ids(texts) == CODEC.ids(texts) == [whole_ids(t) if t else [] for t in texts]
+    assert encoding.encode_corpus(df.where("false")).count() == 0
 
 
 # ------------------------------------------------------------------------------------------------ 7
