@@ -55,14 +55,23 @@ def p6_tree(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"), leaf_chars=300)
 
 
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return _p7(spark, d).where("run_words >= 12").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items, found by a shared run or within the item's error budget."""
+    return _p7(spark, d)
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items that leaked: in how many documents, the longest shared run and the least distance."""
-    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
+    """Items that leaked: in how many documents, in how many as a whole, the longest shared run and the least distance."""
+    whole = F.sum((F.col("leak") == "whole").cast("long"))
+    return _p7(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), whole.alias("as_a_whole"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
 
 
 def _p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +94,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p6_tree": p6_tree, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p6_tree": p6_tree, "p7_found": p7_found, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P3 = r"""
 WITH p AS (SELECT d.doc_key, d.content, coalesce(s.size_unit, f.size_unit) AS u, coalesce(s.max_size, f.max_size) AS m

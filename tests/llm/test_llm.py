@@ -318,20 +318,54 @@ def test_myers(pattern, text):
     assert leakage.myers(pattern, text)[0] == best
 
 
-def test_leaks_against_brute_force(spark):
-    vocabulary = [f"w{i}" for i in range(6)]
-    items = [(i, " ".join(RNG.choices(vocabulary, k=RNG.randint(3, 20)))) for i in range(12)]
+def edited(ws, n):
+    """ws after n random edits."""
+    ws = list(ws)
+    for _ in range(n):
+        at = RNG.randrange(len(ws))
+        ws[at : at + RNG.randint(0, 1)] = [] if RNG.random() < 0.3 else [f"other{RNG.randint(0, 99)}"]
+    return ws
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    vocabulary = [f"w{i}" for i in range(5)]
+    items = [(i, " ".join(RNG.choices(vocabulary, k=RNG.randint(3, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "x y")]
     docs = []
-    for i in range(40):
+    for i in range(60):
         ws = RNG.choices(vocabulary, k=RNG.randint(0, 30))
-        if RNG.random() < 0.5:
-            own = RNG.choice(items)[1].upper().split()
-            ws[3:3] = own[RNG.randint(0, 3) :]
+        if RNG.random() < 0.8:
+            own = RNG.choice(items[:12])[1].upper().split()
+            ws[3:3] = edited(own[RNG.randint(0, 3) :] or own, RNG.randint(0, 3))
         docs.append((i, "; ".join(ws)))
-    docs += [(90, None), (91, ""), (92, items[0][1]), (93, items[0][1])]
-    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"), run_words=6, block_items=5).collect()}
-    runs = lambda t: {tuple(w[i : i + 6]) for w in [re.findall(r"[a-z0-9]+", (t or "").lower())] for i in range(len(w) - 5)}
-    assert got == {(d, i) for d, t in docs for i, u in items if runs(t) & runs(u)}
+    docs += [(90, None), (91, ""), (92, items[0][1]), (93, items[0][1]), (94, " ".join(items[1][1].split() + ["z"] * 700 + items[2][1].split()))]
+    d, e = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    run = lambda a, b: max((n for i in range(len(a)) for j in range(len(b)) for n in [next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))]), default=0)
+    want = {}
+    for k, t in docs:
+        for i, u in items:
+            a, b = words(t), words(u)
+            if len(b) >= 3:
+                budget, distance = len(b) // 3 - 1, leakage.myers(b, a)[0]
+                if distance <= budget or run(a, b) >= 6:
+                    want[k, i] = "whole" if distance <= budget else "part"
+    for most in (16_000_000, 10):
+        monkeypatch.setattr(leakage, "MOST_PIECES", most)
+        got = {(r["doc_id"], r["item_id"]): r for r in leakage.find_leaks(d, e, run_words=6, piece_words=3).collect()}
+        assert {k: r["leak"] for k, r in got.items()} == want
+        assert {k for k, r in got.items() if r["run_words"] >= 6} == {(k, i) for k, t in docs for i, u in items if run(words(t), words(u)) >= 6}
+    assert leakage.find_leaks(d.where("false"), e).count() == leakage.find_leaks(d, e.where("false")).count() == 0
+
+
+def test_items_with_edited_words_are_found(spark):
+    """Every tenth word changed, dropped or doubled: no run of 12 words, but within the budget of a sixth."""
+    items = [(i, " ".join(f"w{RNG.randint(0, 4000)}" for _ in range(60))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        ws = [w for k, u in enumerate(t.split()) for w in ([u] if k % 10 != 9 else [["changed"], [], [u, u]][i % 3])]
+        docs.append((i, " ".join(["before"] * i + ws + ["behind"])))
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["leak"]) for r in got} == {(i, i, "whole") for i in range(30)} and max(r["run_words"] for r in got) < 12 and max(r["distance"] for r in got) <= 6
 
 
 # ------------------------------------------------------------------------------------------------ 8
