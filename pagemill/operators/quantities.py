@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from pagemill.session import spread
 
@@ -75,6 +75,17 @@ def _units() -> dict[str, Unit]:
                 out[n + "s"] = out[n]
     for n in ("plate", "plates", "pl"):
         out[n] = Unit(_dim("plate"), Fraction(1))
+    # British and American units by their legal definitions
+    for names, grams in (("lb lbs pound", Fraction(45359237, 100000)), ("oz ounce", Fraction(45359237, 1600000)), ("grain", Fraction(6479891, 10**8)), ("tonne", Fraction(10**6))):
+        for n in names.split():
+            out[n] = Unit(_dim("mass"), grams)
+            if len(n) > 3:
+                out[n + "s"] = out[n]
+    for names, metres in (("inch inches", Fraction(254, 10**4)), ("ft foot feet", Fraction(3048, 10**4)), ("yard yards yd", Fraction(9144, 10**4))):
+        for n in names.split():
+            out[n] = Unit(_dim("length"), metres)
+    for n in ("gallon", "gallons", "gal"):
+        out[n] = Unit(_dim("length", 3), Fraction(3785411784, 10**12))
     for names, scale in (("% percent pct", Fraction(1, 100)), ("‰ permille promille", Fraction(1, 1000)), ("ppm", Fraction(1, 10**6)), ("ppb", Fraction(1, 10**9)), ("fraction", Fraction(1))):
         for n in names.split():
             out[n] = Unit(NONE, scale)
@@ -157,23 +168,44 @@ _SMALL = "zero one two three four five six seven eight nine ten eleven twelve th
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 WORDS = {w: i for i, w in enumerate(_SMALL)} | {w: 20 + 10 * i for i, w in enumerate(_TENS)} | {f"{t}{sep}{_SMALL[k]}": 20 + 10 * i + k for i, t in enumerate(_TENS) for k in range(1, 10) for sep in "- "}
 _WORD = "|".join(sorted(WORDS, key=len, reverse=True))
+_SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6}
+# up to 999, then such with a scale behind: "two hundred and fifty", "a thousand", "one million two hundred thousand"
+_HUNDREDS = rf"(?:(?:(?:an?|{_WORD})[\s-]+)?hundred(?![a-z])(?:[\s-]+(?:and[\s-]+)?(?:{_WORD})(?![a-z]|[\s-]+(?:hundred|thousand|million)))?|(?:{_WORD})(?![a-z]))"
+_SCALED = rf"(?:(?:{_HUNDREDS}|an?)[\s-]+)?(?:thousand|million)(?![a-z])"
+_SPELLED = rf"(?:{_SCALED}[\s-]+(?:and[\s-]+)?)*(?:{_SCALED}|{_HUNDREDS})"
 _DIGITS = r"\d{1,3}(?:[    ]\d{3}(?!\d))+(?:[.,]\d+)?|\d+(?:,\d{3}(?!\d))+(?:\.\d+)?|\d+(?:[.,]\d+)?"
 _EXP = r"(?:[eE][-+]?\d+|\s*[x×*]\s*10(?:\s*\^\s*[-+−]?\d+|[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+))"
-NUMBER = re.compile(rf"(?<![\w.,])(?:(?P<digits>{_DIGITS})(?P<exp>{_EXP})?|(?P<word>\b(?:{_WORD})(?![a-z])))", re.I)
+NUMBER = re.compile(rf"(?<![\w.,])(?:(?P<digits>{_DIGITS})(?P<exp>{_EXP})?|(?P<word>\b{_SPELLED}))", re.I)
 _COMMA = re.compile(r",(?=\d{3}(?!\d))")
 
 
-def parse_number(m: re.Match) -> Fraction:
+def _spelled(text: str) -> Fraction:
+    total = part = 0
+    for w in re.split(r"[\s-]+", text.lower()):
+        if w == "hundred":
+            part = (part or 1) * 100
+        elif w in _SCALES:
+            total, part = total + (part or 1) * _SCALES[w], 0
+        elif w != "and":
+            part += 1 if w in ("a", "an") else WORDS[w]
+    return Fraction(total + part)
+
+
+#: A power of ten beyond this is no figure.
+MOST_EXPONENT = 4000
+
+
+def parse_number(m: re.Match) -> Fraction | None:
     """The value of a match of NUMBER: a comma before exactly three digits separates thousands, else decimals."""
     if m["word"]:
-        return Fraction(WORDS[m["word"].lower()])
+        return _spelled(m["word"])
     digits = re.sub(r"[    ]", "", m["digits"])
     value = Fraction(_COMMA.sub("", digits).replace(",", "."))
     if m["exp"]:
         power = re.search(r"(?:[eE]|\^\s*)([-+−]?\d+)$|10([⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)$", m["exp"])
         n = int((power[1] or power[2]).translate(_SUPER).replace("−", "-"))
-        if abs(n) > 60:
-            return Fraction(0)
+        if abs(n) > MOST_EXPONENT:
+            return None
         value *= Fraction(10) ** n
     return value
 
@@ -183,6 +215,8 @@ def parse_number(m: re.Match) -> Fraction:
 #: Counts of animals and numbers of groups are no figures.
 _COUNTS = re.compile(r"\(?\s*\b(?:groups?|n\s*=|no\.|pages?|table|day|batch)\s*\d+(?:\s*(?:and|,|-)\s*\d+)*\s*\)?|\b\d+\s+(?:animals?|males?|females?|rats?|mice|rabbits?|dogs?|hens?|pigs?|subjects?|groups?|plates?)\b", re.I)
 _LABEL_UNIT = re.compile(r"[\[(]\s*(.+?)\s*[\])]\s*$|\bin\s+(.+?)\s*$", re.I)
+_CONSECUTIVE = re.compile(r"(\s*)consecutive\s+", re.I)
+_BLANKS = re.compile(r"\s{2,}")
 _LIST_GAP = re.compile(r"\s*(?:,|;|and|or|&|to|/|,\s*and)\s*\Z", re.I)
 
 
@@ -192,34 +226,49 @@ class Figure:
     unit: Unit
 
 
+#: A label ends at the first colon, if neither a sentence nor a line ends before.
+_HEAD = re.compile(r"(?:[^:\n.!?;]|[.!?;](?!\s))*:")
+#: Code points behind a number that are read for its unit; an expression that comes near the end is read again in full.
+_NEAR, _FULL = 160, 100
+
+
+def _unit_behind(body: str, at: int) -> tuple[Unit, int] | None:
+    for after in (body[at : at + _NEAR], None):
+        if after is None:
+            after = body[at:]
+        skipped = _CONSECUTIVE.match(after)
+        got = parse_unit(skipped[1] + after[skipped.end() :] if skipped else after)
+        if not got or got[1] < _FULL or len(after) < _NEAR:
+            # where a word is left out, only the unit itself is known to be read
+            return (got[0], 0) if got and skipped else got
+    return got
+
+
 def figures(text: str | None) -> list[Figure]:
     """All figures with a unit, in order. Null and texts without figures give an empty list."""
     if not text:
         return []
-    label_unit, body = None, text
-    head, colon, tail = text.partition(":")
-    if colon and len(head) <= 80:
-        body = tail
+    label_unit, body = None, _BLANKS.sub(lambda m: m[0][0], text)
+    if h := _HEAD.match(body):
+        head, body = h[0][:-1], body[h.end() :]
         if m := _LABEL_UNIT.search(head):
             named = (m[1] or m[2]).strip()
             got = parse_unit(named)
             if got and not named[got[1] :].strip(" )]"):
                 label_unit = got[0]
     body = _COUNTS.sub(" ", body)
-    found: list[tuple[Fraction, Unit | None, int, int]] = []
+    found: list[tuple[Fraction | None, Unit | None, int, int]] = []
     at = 0
     while m := NUMBER.search(body, at):
-        after = body[m.end() : m.end() + 60]
-        got = parse_unit(re.sub(r"\A(\s*)consecutive\s+", r"\1", after, flags=re.I))
-        end = m.end() + (got[1] if got else 0)
+        got = _unit_behind(body, m.end())
         found.append((parse_number(m), got[0] if got else None, m.start(), m.end()))
-        at = max(end if got and "consecutive" not in after else m.end(), m.end())
+        at = m.end() + (got[1] if got else 0)
     # a figure without unit in a list takes the unit of the figure after it
     for i in range(len(found) - 2, -1, -1):
         value, unit, start, end = found[i]
         if unit is None and found[i + 1][1] is not None and _LIST_GAP.match(body[end : found[i + 1][2]]):
             found[i] = (value, found[i + 1][1], start, end)
-    return [Figure(v, u or label_unit) for v, u, _, _ in found if u or label_unit]  # type: ignore[arg-type]
+    return [Figure(v, u or label_unit) for v, u, _, _ in found if v is not None and (u or label_unit)]  # type: ignore[arg-type]
 
 
 # ---------------------------------------------------------------------------------------------- quantities
@@ -253,26 +302,30 @@ def convert(figure: Figure, quantity: Quantity) -> Fraction | None:
     return None if per is None else (figure.value * figure.unit.scale + figure.unit.offset) * per
 
 
-def amounts(text: str | None, quantities: tuple[Quantity, ...]) -> list[tuple[str, int]]:
-    """Distinct (quantity, whole amount in its common unit), in order of appearance."""
-    out: dict[tuple[str, int], None] = {}
+def amounts(text: str | None, quantities: tuple[Quantity, ...]) -> list[tuple[str, int, bool]]:
+    """Distinct (quantity, amount in its common unit, whether that is exact), in order of appearance.
+
+    An amount that isn't whole is rounded to the nearest; one that would round to nothing, or is beyond the range of a long,
+    has no entry.
+    """
+    out: dict[tuple[str, int], bool] = {}
     for fig in figures(text):
         for q in quantities:
             if (x := convert(fig, q)) is not None:
-                if x.denominator == 1 and 0 <= x < 2**63:
-                    out[q.name, int(x)] = None
+                if 0 <= (n := round(x)) < 2**63 and (n or not x):
+                    out[q.name, n] = out.get((q.name, n), False) or x.denominator == 1
                 break
-    return list(out)
+    return [(q, n, exact) for (q, n), exact in out.items()]
 
 
-AMOUNTS = ArrayType(StructType([StructField("quantity", StringType()), StructField("amount", LongType())]))
+AMOUNTS = ArrayType(StructType([StructField("quantity", StringType()), StructField("amount", LongType()), StructField("exact", BooleanType())]))
 
 
 def _amounts_udf(by_question: dict[str, tuple[Quantity, ...]]):
     @F.pandas_udf(AMOUNTS)
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for question, text in batches:
-            yield pd.Series([[{"quantity": n, "amount": a} for n, a in amounts(t, by_question[q])] for q, t in zip(question, text)])
+            yield pd.Series([[{"quantity": n, "amount": a, "exact": e} for n, a, e in amounts(t, by_question[q])] for q, t in zip(question, text)])
 
     return udf
 
@@ -291,5 +344,16 @@ def with_amounts(df: DataFrame, question: str | Column, text: str | Column, into
 
 def found_amounts(run_states: DataFrame) -> DataFrame:
     """state_id, quantity, amount: one row for each distinct figure of corrected_output (questions 2, 6, 7 and 10)."""
-    cols = run_states.select("state_id", "question_id", "corrected_output").where(F.col("question_id").isin(*BY_QUESTION)).where(F.col("corrected_output").rlike(r"(?i)\d|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"))
+    cols = run_states.select("state_id", "question_id", "corrected_output").where(F.col("question_id").isin(*BY_QUESTION) & F.col("corrected_output").isNotNull())
     return with_amounts(spread(cols), "question_id", "corrected_output").select("state_id", F.explode("amounts").alias("a")).select("state_id", "a.quantity", "a.amount")
+
+
+def dimensions(dims: Vector) -> str:
+    """A vector as text: "mass length^-3"; "1" without dimensions."""
+    return " ".join(n if e == 1 else f"{n}^{e}" for n, e in zip(BASE, dims) if e) or "1"
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("dimensions", StringType()), StructField("value", DoubleType())])))
+def base_figures(text: pd.Series) -> pd.Series:
+    """All figures of a text in base units (gram, metre, hour, kelvin, plate), temperatures by scale and offset."""
+    return pd.Series([[{"dimensions": dimensions(f.unit.dims), "value": float(f.value * f.unit.scale + f.unit.offset)} for f in figures(t) if abs(f.value) < 10**300] for t in text])

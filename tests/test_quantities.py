@@ -28,13 +28,25 @@ from pagemill.operators import quantities as Q
         ("question 10", "Duration of test : 18-month", [("duration", 12960)]),
         ("question 10", "TESTING DURATION in weeks : two", [("duration", 336)]),
         ("question 10", "DURATION: 28 DAYS", [("duration", 672)]),
+        ("question 2", "PURITY : zero percent", [("purity", 0)]),
+        ("question 2", "PURITY : 1e-61 %", []),
+        ("question 2", "PURITY : 99.12345678 %", [("purity", 991235)]),
+        ("question 2", "PURITY : 1e99999 %", []),
+        ("question 6", "DOSE : one hundred mg/kg bw", [("dose", 100000)]),
+        ("question 6", "DOSE : two hundred and fifty mg/kg", [("dose", 250000)]),
+        ("question 6", "DOSE : one hundred and two hundred mg/kg", [("dose", 100000), ("dose", 200000)]),
+        ("question 6", "DOSE : a thousand mg/kg", [("dose", 1000000)]),
+        ("question 6", "DOSE : one thousand two hundred mg/kg", [("dose", 1200000)]),
+        ("question 6", "DOSE : 0.5 oz/lb bw", [("dose", 31250000)]),
+        ("question 6", "The dose that the study's authors thought of as the highest one that could be given to the animals at all [mg/kg] : 5", [("dose", 5000)]),
+        ("question 6", "DOSE : 5" + " " * 300 + "mg   per" + " " * 90 + "kg", [("dose", 5000)]),
         ("question 10", "Null : Null", []),
         ("question 10", "", []),
         ("question 10", None, []),
     ],
 )
 def test_amounts(question, text, expected):
-    assert Q.amounts(text, Q.BY_QUESTION[question]) == expected
+    assert [a[:2] for a in Q.amounts(text, Q.BY_QUESTION[question])] == expected
 
 
 def test_offset_units():
@@ -42,9 +54,19 @@ def test_offset_units():
     assert f.value * f.unit.scale + f.unit.offset == Fraction(29815, 100)
 
 
+def test_inexact_amounts_say_so():
+    assert Q.amounts("PURITY : 99.12345678 %, 50 %", (Q.PURITY,)) == [("purity", 991235, False), ("purity", 500000, True)]
+
+
+def test_base_figures(spark):
+    df = spark.createDataFrame([(1, "Temperature : 25 °C"), (2, "68 °F and 3 mg/L"), (3, None), (4, "")], "id long, text string")
+    got = {(r["id"], r["f"]["dimensions"], round(r["f"]["value"], 6)) for r in df.selectExpr("id", "text").select("id", Q.base_figures("text").alias("fs")).selectExpr("id", "explode(fs) as f").collect()}
+    assert got == {(1, "temperature", 298.15), (2, "temperature", 293.15), (2, "mass length^-3", 3.0)}
+
+
 def test_found_amounts(spark):
-    rows = [(1, "question 2", "PURITY : 90 %", 1), (2, "question 3", "50 %", 1), (3, "question 2", None, 1), (4, None, "PURITY : 90 %", 1), (5, "question 7", "Dilutions : 1% v/v, 1% w/w, 2%", 1), (6, "question 2", "", 1)]
+    rows = [(1, "question 2", "PURITY : 90 %", 1), (2, "question 3", "50 %", 1), (3, "question 2", None, 1), (4, None, "PURITY : 90 %", 1), (5, "question 7", "Dilutions : 1% v/v, 1% w/w, 2%", 1), (6, "question 2", "", 1), (7, "question 2", "PURITY : zero percent", 1)]
     df = spark.createDataFrame(rows, "state_id long, question_id string, corrected_output string, amounts int")
     got = {tuple(r) for r in Q.found_amounts(df).collect()}
-    assert got == {(1, "purity", 900000), (5, "dilution", 1000), (5, "dilution", 2000)}
+    assert got == {(7, "purity", 0), (1, "purity", 900000), (5, "dilution", 1000), (5, "dilution", 2000)}
     assert Q.found_amounts(df.where("false")).count() == 0
