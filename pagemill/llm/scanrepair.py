@@ -6,7 +6,9 @@ nothing but a number in some form is the page number if its distance to the page
 
 Misreads. The corpus' words are counted. A rare word is joined to frequent ones over the difference of their anagram
 hashes: a hash is the sum of its letters' fifth powers, so each confusion (e read as c, m as rn ...) shifts it by a
-constant, wherever it stands. Hits are verified by place and ranked by frequency.
+constant, wherever it stands. Hits are verified by place and ranked by frequency. A figure with letters in it (l for 1)
+is corrected if the corpus has the plain figure often enough beside it, so that codes such as S9 stay. The corrections
+don't leave the cluster: a sieve of their hashes (16 MB at most) tells which words of the text to join with them.
 
 Broken words. Halves at line ends, within a page or across its body's end, are joined; the corpus decides between the
 joined and the hyphenated spelling. All steps but the two scans of the text are joins and aggregates on small rows.
@@ -18,8 +20,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -131,7 +135,7 @@ _STRIP = ".,;:\"'[]?“”„»«…"
 _BROKEN = re.compile(r"[^\W\d_][-‐‑¬\xad]\Z")
 _MARK = "-‐‑¬\xad"
 _WORDY = re.compile(r"[^\W\d_]")
-_CODE = re.compile(r"[a-z]{1,3}-?\d[\d-]*\Z|\d[\d.,/-]*(?:mg|kg|g|ml|l|h|d)?\Z|(?:st|rx|5t)\d{5,}\Z")
+_CODE = re.compile(r"[a-z]{1,3}-?\d[\d-]*\Z|\d[\d.,/-]*(?:mg|kg|g|ml|l|h|d)?\Z|[a-z\d]{1,3}\d{4,}\Z")
 _MISREAD_NUMBER = re.compile(r"[\dlIOSB]*\d[\dlIOSB]*(?:[.,][\dlIOSB]+)*\Z")
 _TO_DIGITS = str.maketrans("lIOSB", "11058")
 
@@ -157,14 +161,22 @@ def _counted(content: str) -> Iterator[str]:
         yield from tokens[first : len(tokens) - 1] if broken else tokens[first:]
 
 
+def figure(token: str) -> str:
+    """The token, if it is a figure or could be one with misread digits; else empty."""
+    w = token.strip(_STRIP + "()")
+    return w if _MISREAD_NUMBER.match(w) else ""
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n, hash of a partition."""
+    """word, n, hash of a partition; figures stand behind "#"."""
     raw: Counter = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal raw
         counts: Counter = Counter()
         for t, n in raw.items():
+            if f := figure(t):
+                counts["#" + f] += n
             w = t.strip(_STRIP).lower()
             if len(w) < 2 or not _WORDY.search(w) or _CODE.match(w):
                 continue
@@ -187,16 +199,30 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """word, n, hash over all pages."""
+    """word, n, hash over all pages; figures are kept apart from words by a "#" before them."""
     return spread(pages.select("content").where(F.col("content").isNotNull())).mapInArrow(_vocabulary, "word string, n long, hash long").groupBy("word").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
 
 
+def figure_corrections(words: DataFrame) -> DataFrame:
+    """word, right: figures with letters for digits, where the corpus has the plain figure twice as often, or hardly any.
+
+    What looks like a code (one letter, then digits) needs four times as many plain figures.
+    """
+    figures = words.where("word like '#%'")
+    odd = figures.where(F.col("word").rlike("[lIOSB]") & (F.length("word") > 2)).select("word", "n", F.translate("word", "lIOSB", "11058").alias("plain"))
+    seen = odd.join(figures.select(F.col("word").alias("plain"), F.col("n").alias("m")), "plain", "left").fillna(0, ["m"])
+    code = F.col("word").rlike(r"^#[IOSB]\d+$")
+    enough = F.when(code, F.col("m") >= 4 * F.col("n")).otherwise((F.col("m") >= 2 * F.col("n")) | (F.col("n") <= 2))
+    return seen.where(enough).select("word", F.expr("substring(plain, 2)").alias("right"))
+
+
 def corrections(words: DataFrame, extra: DataFrame | None = None, least: int = 8, ratio: int = 25) -> DataFrame:
     """word, right: rare words that one confusion turns into a frequent word, the most frequent one first.
 
     Words with a sign or digit inside need a variant at least twice as frequent; all-letter words one of at least
     least occurrences and ratio times their own beyond the first. extra holds further words (joined halves) to be looked up.
     """
+    words = words.where("word not like '#%'")
     rare = words.select("word", "n", "hash")
     if extra is not None:
         rare = rare.unionByName(extra)
@@ -210,28 +236,63 @@ def corrections(words: DataFrame, extra: DataFrame | None = None, least: int = 8
     return hits.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
-#: Corrections that may go to every worker as a table (some 100 bytes each); beyond that they are joined.
-MOST_SENT = 1_000_000
+class Sieve:
+    """Two bits for each of a table's words: tells what surely isn't among them. At most 2^27 bits, whatever the table."""
+
+    def __init__(self, words: DataFrame) -> None:
+        """words: word, written before."""
+        n = words.count()
+        self.mask = (1 << min(27, max(16, (32 * n).bit_length()))) - 1
+        mask = self.mask
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                places = [i for w in b.column(0).to_pylist() for i in _places(w, mask)]
+                yield pa.RecordBatch.from_arrays([pa.array([i >> 6 for i in places], pa.int64()), pa.array([i & 63 for i in places], pa.int32())], names=["i", "bit"])
+
+        rows = words.select("word").mapInArrow(run, "i long, bit int").groupBy("i").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        self.bits = np.zeros((mask + 1) >> 6, dtype=np.uint64)
+        for r in rows.toLocalIterator():
+            self.bits[r["i"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+
+    def may_have(self, word: str) -> bool:
+        return all(int(self.bits[i >> 6]) >> (i & 63) & 1 for i in _places(word, self.mask))
+
+
+def _places(word: str, mask: int) -> tuple[int, int]:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h & mask, h >> 32 & mask
 
 
 def misread_number(token: str) -> str | None:
-    w = token.strip(_STRIP + "()")
-    if len(w) > 1 and not w.isdigit() and _MISREAD_NUMBER.match(w) and (right := w.translate(_TO_DIGITS)) != w:
+    """What a token would be as a plain figure, if it has letters for digits."""
+    w = figure(token)
+    if len(w) > 1 and not w.isdigit() and (right := w.translate(_TO_DIGITS)) != w:
         return right
     return None
 
 
-def _scan(table: dict[str, str] | None):
-    """page_key, line_no, kind ('m' or 'h'), word, rest and next_line of a partition.
+def _asked(token: str, sieve: Sieve) -> tuple[str | None, str | None] | None:
+    """The spellings under which corrections may have a token."""
+    if misread_number(token) is not None:
+        own = ["#" + figure(token)]
+    else:
+        w = token.strip(_STRIP).lower()
+        own = [x for x in dict.fromkeys((w, w.strip("()!+"))) if len(x) > 1]
+    own = [x for x in own if sieve.may_have(x)]
+    return (own[0], own[1] if len(own) > 1 else None) if own else None
+
+
+def _scan(sent):
+    """page_key, line_no, place (of the word in the line), kind, word, other, next_line of a partition.
 
-    Without a table all words that may be misread come out with kind 'w', to be joined.
+    kind 'm': a word that corrections may have, as word or as other; 'h': a half at a line's end, with its rest as other.
     """
-    get = table.get if table is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        sieve, known = sent.value, {}
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
 
             def add(*row) -> None:  # type: ignore[no-untyped-def]
                 for k, x in enumerate(row):
@@ -248,30 +309,24 @@ def _scan(table: dict[str, str] | None):
                         continue
                     begin, end = 0, len(tokens)
                     if half:
-                        add(page, half[0], "h", half[1], tokens[0], no)
+                        add(page, half[0], None, "h", half[1], tokens[0], no)
                         begin = 1
                         half = None
                     if _BROKEN.search(tokens[-1]) and end > begin:
                         half = (no, tokens[-1])
                         end -= 1
-                    for t in tokens[begin:end]:
+                    for i in range(begin, end):
+                        t = tokens[i]
                         if t in known:
-                            right = known[t]
+                            asked = known[t]
                         else:
-                            right = None
-                            w = t.strip(_STRIP).lower()
-                            if number := misread_number(t):
-                                right = number
-                            elif get is None:
-                                right = w if len(w) > 1 and _WORDY.search(w) and not _CODE.match(w) else None
-                            else:
-                                right = get(w) or get(w.strip("()!+"))
-                            if len(known) < 300_000:
-                                known[t] = right
-                        if right is not None:
-                            add(page, no, "m" if get is not None or misread_number(t) else "w", right, None, None)
-            types = [b.column(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["page_key", "line_no", "kind", "word", "rest", "next_line"])
+                            asked = _asked(t, sieve)
+                            if len(known) < 300_000:  # only spares repeats
+                                known[t] = asked
+                        if asked is not None:
+                            add(page, no, i, "m", *asked, None)
+            types = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["page_key", "line_no", "place", "kind", "word", "other", "next_line"])
 
     return run
 
@@ -310,20 +365,21 @@ class Repair:
 
     def found(self) -> DataFrame:
         """page_key, line_no, defect, word."""
+        return self.noted().select("page_key", "line_no", "defect", "word").distinct()
+
+    def noted(self) -> DataFrame:
+        """page_key, line_no, place, defect, word: found, with the place in its line of each misread word."""
         spark = self.pages.sparkSession
         flagged = self.edges.where("defect is not null").select("page_key", "line_no", "defect")
-        right = materialised(corrections(self.words))
-        few = right.count() <= MOST_SENT
-        table = {r[0]: r[1] for r in right.toLocalIterator()} if few else None
+        right = materialised(corrections(self.words).unionByName(figure_corrections(self.words)))
+        sent = spark.sparkContext.broadcast(Sieve(right))
         text = spread(self.pages.select("page_key", "content").where(F.col("content").isNotNull()))
-        scanned = materialised(text.mapInArrow(_scan(table), f"page_key {self.key_type}, line_no int, kind string, word string, rest string, next_line int"))
-        misread = scanned.where("kind = 'm'").select("page_key", "line_no", "word")
-        if not few:
-            asked = scanned.where("kind = 'w'").select("page_key", "line_no", "word")
-            misread = misread.unionByName(asked.join(right, "word").select("page_key", "line_no", F.col("right").alias("word")))
+        scanned = materialised(text.mapInArrow(_scan(sent), f"page_key {self.key_type}, line_no int, place int, kind string, word string, other string, next_line int"))
         lines = flagged.select("page_key", "line_no")
-        misread = misread.join(lines, ["page_key", "line_no"], "left_anti").select("page_key", "line_no", F.lit("misread").alias("defect"), "word")
-        inner = scanned.where("kind = 'h'").select("page_key", "line_no", "word", "rest", "next_line").join(lines.withColumnRenamed("line_no", "next_line"), ["page_key", "next_line"], "left_anti").select("page_key", "line_no", "word", "rest")
+        asked = scanned.where("kind = 'm'").select("page_key", "line_no", "place", "word", "other")
+        misread = asked.join(right.withColumnRenamed("right", "r1"), "word", "left").join(right.select(F.col("word").alias("other"), F.col("right").alias("r2")), "other", "left").select("page_key", "line_no", "place", F.lit("misread").alias("defect"), F.coalesce("r1", "r2").alias("word")).where("word is not null")
+        misread = misread.join(lines, ["page_key", "line_no"], "left_anti")
+        inner = scanned.where("kind = 'h'").select("page_key", "line_no", "word", F.col("other").alias("rest"), "next_line").join(lines.withColumnRenamed("line_no", "next_line"), ["page_key", "next_line"], "left_anti").select("page_key", "line_no", "word", "rest")
         inner = inner.join(lines, ["page_key", "line_no"], "left_anti")
         halves = materialised(_joined(inner.unionByName(self._ends())).dropDuplicates(["page_key", "line_no"]))
         counts = self.words.select(F.col("word").alias("_w"), "n")
@@ -334,17 +390,19 @@ class Repair:
         known = known.join(mended.select(F.col("word").alias("whole"), F.col("right").alias("r1")), "whole", "left").join(mended.select(F.col("word").alias("hyphenated"), F.col("right").alias("r2")), "hyphenated", "left")
         word = F.when((F.col("n_hyphenated") > F.col("n_whole")) | F.col("hyphenated").rlike(r"-\d"), F.col("hyphenated")).when(F.col("n_whole") > 0, F.col("whole")).otherwise(F.coalesce("r1", "r2", "whole"))
         hyphen = known.select("page_key", "line_no", F.lit("hyphen").alias("defect"), word.alias("word"))
-        return flagged.withColumn("word", F.lit("")).unionByName(misread).unionByName(hyphen).distinct()
+        nowhere = F.lit(None).cast("int").alias("place")
+        return flagged.select("*", F.lit("").alias("word"), nowhere).unionByName(misread).unionByName(hyphen.select("*", nowhere))
 
     def paragraphs(self) -> DataFrame:
         """study_id, paragraph (from 0), first_page, text: the repaired text of each study, over page ends.
 
         Of the scans of a position the smallest page_key is taken. A blank line ends a paragraph; a page's last one goes
-        on to the next page unless it ends a sentence.
+        on to the next page unless it ends a sentence. Only first and last paragraphs of pages are brought together;
+        numbers come from sums over blocks of pages, so that no task holds a study.
         """
-        found = self.found()
-        notes = found.groupBy("page_key").agg(F.collect_list(F.struct("line_no", "defect", "word")).alias("notes"))
-        pages = self.pages.select("page_key", "study_id", F.expr("try_cast(metadata.page_num as int)").alias("pos"), "content").where(F.col("content").isNotNull() & F.col("pos").isNotNull())
+        found = materialised(self.noted())
+        notes = found.groupBy("page_key").agg(F.collect_list(F.struct("line_no", "defect", "word", "place")).alias("notes"))
+        pages = self.pages.select("page_key", "study_id", F.expr("try_cast(metadata.page_num as int)").alias("pos"), "content").where(F.col("content").isNotNull() & F.col("pos").isNotNull() & F.col("study_id").isNotNull())
         single = pages.join(pages.groupBy("study_id", "pos").agg(F.min("page_key").alias("page_key")).select("page_key"), "page_key", "left_semi")
         taken = self._ends().join(found.where("defect = 'hyphen'").select("page_key", "line_no"), ["page_key", "line_no"], "left_semi").select("page_key").join(pages.select("page_key", "study_id", "pos"), "page_key").select("study_id", (F.col("pos") + 1).alias("pos")).distinct().withColumn("taken", F.lit(True))
         rows = single.join(notes, "page_key", "left").join(taken, ["study_id", "pos"], "left").select("study_id", "pos", "content", "notes", F.coalesce("taken", F.lit(False)).alias("taken"))
@@ -353,55 +411,59 @@ class Repair:
             for pdf in batches:
                 out = []
                 for study, pos, content, own, cut in zip(pdf["study_id"], pdf["pos"], pdf["content"], pdf["notes"], pdf["taken"]):
-                    marks = [(n["line_no"], n["defect"], n["word"]) for n in own] if own is not None else []
-                    out += [(study, pos, k, t) for k, t in enumerate(repaired(content, marks, cut))]
-                yield pd.DataFrame(out, columns=["study_id", "pos", "part", "text"])
-
-        parts = rows.mapInPandas(run, "study_id string, pos int, part int, text string")
-        order = Window.partitionBy("study_id").orderBy("pos", "part")
-        before = F.lag(F.struct("pos", "text")).over(order)
-        fresh = before.isNull() | (F.col("part") > 0) | before["text"].rlike(r"[.!?:][\"')\]]*$")
-        numbered = parts.withColumn("paragraph", F.sum(fresh.cast("int")).over(order) - 1)
-        joined = numbered.groupBy("study_id", "paragraph").agg(F.min("pos").alias("first_page"), F.sort_array(F.collect_list(F.struct("pos", "part", "text"))).alias("t"))
-        return joined.select("study_id", "paragraph", "first_page", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
-
-
-def _replaced(token: str, word: str) -> str | None:
-    """The token with its core put right, if word is what it was misread from."""
+                    marks = [(n["line_no"], n["defect"], n["word"], n["place"]) for n in own] if own is not None else []
+                    parts = repaired(content, marks, cut)
+                    out += [(study, pos, k, len(parts), bool(_CLOSED.search(t)), t) for k, t in enumerate(parts)]
+                yield pd.DataFrame(out, columns=["study_id", "pos", "part", "parts", "closed", "text"])
+
+        parts = materialised(rows.mapInPandas(run, "study_id string, pos int, part int, parts int, closed boolean, text string"))
+        ends = parts.where("part = parts - 1").select("study_id", "pos", "parts", "closed", F.expr("pos div 1024").alias("block"))
+        inside = Window.partitionBy("study_id", "block").orderBy("pos")
+        blocks = ends.groupBy("study_id", "block").agg(F.max_by("closed", "pos").alias("end"))
+        entered = blocks.select("study_id", "block", F.lag("end").over(Window.partitionBy("study_id").orderBy("block")).alias("before"))
+        # a page's first paragraph is a new one, unless the page before ends an open one
+        pages_ = ends.join(entered, ["study_id", "block"]).withColumn("fresh", F.coalesce(F.lag("closed").over(inside), "before", F.lit(True))).withColumn("new", F.col("parts") - 1 + F.col("fresh").cast("int"))
+        sums = pages_.groupBy("study_id", "block").agg(F.sum("new").alias("sum"))
+        offset = F.coalesce(F.sum("sum").over(Window.partitionBy("study_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = pages_.join(sums.select("study_id", "block", offset.alias("offset")), ["study_id", "block"]).select("study_id", "pos", (F.col("offset") + F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("parts")).alias("base"))
+        placed = parts.join(numbered, ["study_id", "pos"]).select("study_id", (F.col("base") + F.col("part")).alias("paragraph"), "pos", "part", "parts", "text")
+        whole = placed.where("part > 0 and part < parts - 1").select("study_id", "paragraph", F.col("pos").alias("first_page"), "text")
+        edges = placed.where("part = 0 or part = parts - 1").groupBy("study_id", "paragraph").agg(F.min("pos").alias("first_page"), F.sort_array(F.collect_list(F.struct("pos", "part", "text"))).alias("t"))
+        return whole.unionByName(edges.select("study_id", "paragraph", "first_page", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text")))
+
+
+_CLOSED = re.compile(r"[.!?:][\"')\]]*$")
+
+
+def _replaced(token: str, word: str) -> str:
+    """The token with its core put right; brackets stay, but for those that were read for letters."""
     inner = core(token)
+    bare = inner.strip("()!+")
+    low = bare.lower()
+    if inner != bare and (misread_number(token) == word or any(low[i : i + len(a)] == a and low[:i] + b + low[i + len(a) :] == word for a, b in CONFUSIONS for i in range(len(low)))):
+        inner = bare
     if not inner:
-        return None
-    low = inner.lower()
-    if misread_number(token) != word and not any(low[i : i + len(a)] == a and low[:i] + b + low[i + len(a) :] in (word, word + ")", "(" + word) for a, b in CONFUSIONS for i in range(len(low))):
-        return None
+        return token
     cased = word.upper() if inner.isupper() and len(inner) > 2 else word.capitalize() if inner[0].isupper() else word
     return token.replace(inner, cased, 1)
 
 
-def repaired(content: str, marks: list[tuple[int, str, str]], taken: bool) -> list[str]:
+def repaired(content: str, marks: list[tuple[int, str, str, int | None]], taken: bool) -> list[str]:
     """Paragraphs of a page's body; taken: its first word has gone to the page before."""
-    gone = {n for n, d, _ in marks if d in ("running", "page_no")}
-    broken = {n: w for n, d, w in marks if d == "hyphen"}
-    wrong: dict[int, list[str]] = {}
-    for n, d, w in marks:
-        if d == "misread":
-            wrong.setdefault(n, []).append(w)
+    gone = {n for n, d, _, _ in marks if d in ("running", "page_no")}
+    broken = {n: w for n, d, w, _ in marks if d == "hyphen"}
+    wrong = {(n, i): w for n, d, w, i in marks if d == "misread"}
     out: list[list[str]] = [[]]
     for n, line in enumerate(content.split("\n"), 1):
         if n in gone:
             continue
-        tokens = line.split()
+        tokens = [_replaced(t, wrong[n, i]) if (n, i) in wrong else t for i, t in enumerate(line.split())]
         if not tokens:
             if out[-1]:
                 out.append([])
             continue
         if taken:
             tokens, taken = tokens[1:], False
-        for w in wrong.get(n, ()):
-            for i, t in enumerate(tokens):
-                if (new := _replaced(t, w)) is not None:
-                    tokens[i] = new
-                    break
         if n in broken and tokens:
             first = tokens[-1]
             tokens[-1] = broken[n].capitalize() if first[:1].isupper() else broken[n]

@@ -82,24 +82,24 @@ def test_scanned_pages(spark):
     body = "The animals were examined during the recovery period and the control group was normal at necropsy."
     rows = []
     for p in range(1, 9):
-        lines = [f"Project X | Lab | sheet {p + 4}", body, "the recovery was complete in the control group", f"- {p + 4} -"]
+        lines = [f"Project X | Lab | sheet {p + 4}", body, "the recovery was complete in the control group", "on day 12 and day 12", f"- {p + 4} -"]
         if p == 3:
-            lines[2] = "the recovcry was complete in the con-"
-            lines.insert(3, "trol group of S9 animals")
+            lines[2] = "the recovcry and (recovcry) was complete in the con-"
+            lines.insert(3, "trol group of S9 animals on day l2")
         if p == 5:
             lines[2] = "it was normal in the reco¬"
         if p == 6:
             lines[1] = "very group " + body
         rows.append((p, "S", str(p), "\n".join(lines)))
-    rows += [(20, "S", "9", None), (21, None, "1", "  "), (22, "S", "x", "text")]
+    rows += [(20, "S", "9", None), (21, None, "1", "  "), (22, "S", "x", "text")] + [(100 + p, f"T{p}", "1", "\n".join(["x", "y", "z", body, "x", "y", "z"])) for p in range(20)]
     df = spark.createDataFrame(rows, "page_key long, study_id string, page_num string, content string").selectExpr("page_key", "study_id", "content", "struct(page_num) as metadata", "'clash' as word")
     got = {tuple(r) for r in scanrepair.found_noise(df).collect()}
     assert {(p, 1, "running", "") for p in range(1, 9)} <= got
-    assert {(3, 3, "hyphen", "control"), (3, 3, "misread", "recovery"), (3, 4, "misread", "59"), (5, 3, "hyphen", "recovery"), (3, 5, "page_no", ""), (1, 4, "page_no", "")} <= got
+    assert {(3, 3, "hyphen", "control"), (3, 3, "misread", "recovery"), (3, 4, "misread", "12"), (5, 3, "hyphen", "recovery"), (3, 6, "page_no", ""), (1, 5, "page_no", "")} <= got
     assert not {r for r in got if r[2] == "misread" and r[:2] not in {(3, 3), (3, 4)}}
     assert scanrepair.found_noise(df.where("false")).count() == 0
     text = " ".join(r["text"] for r in scanrepair.Repair(df).paragraphs().where("study_id = 'S'").orderBy("paragraph").collect())
-    assert "the recovery was complete in the control group of 59 animals" in text and "reco¬" not in text and "it was normal in the recovery group The" in text
+    assert "the recovery and (recovery) was complete in the control group of S9 animals on day 12 the recovery" in text and "reco¬" not in text and "it was normal in the recovery group The" in text
     assert "Project X" not in text and "- 5 -" not in text
 
 
