@@ -42,10 +42,25 @@ _PAGE_NO = re.compile(rf"[-–—~*.\[(|]*{_PAGE_WORD}?[.:]?(?P<n>[\dlIOoSB]{{1,
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+class _Solid(dict):
+    """A table for str.translate that keeps solid letters, after _SOLID_MAP, and drops all else."""
+
+    def __missing__(self, c: int) -> str:
+        kept = "".join(x for x in chr(c).translate(_SOLID_MAP) if x in _SOLID)
+        self[c] = kept
+        return kept
+
+
+_TO_SOLID = _Solid()
+_FIGURE = re.compile(r"\d")
+
+
 def skeleton(line: str) -> str:
     """The line's letters that no usual confusion touches, without numbers and blanks."""
-    words = [w for w in line.lower().split() if not _SKIPPED.match(w)]
-    return "".join(c for c in "".join(words).translate(_SOLID_MAP) if c in _SOLID)
+    line = line.lower()
+    if _FIGURE.search(line):
+        line = "".join([w for w in line.split() if not _SKIPPED.match(w)])
+    return line.translate(_TO_SOLID)
 
 
 def roman(s: str) -> int | None:
@@ -75,30 +90,41 @@ def page_number(line: str) -> tuple[int, bool] | None:
     return n, m[0] != s
 
 
-def body_lines(content: str) -> list[tuple[int, str]]:
-    """Number (from 1) and stripped text of the lines that aren't blank."""
-    return [(i, s) for i, x in enumerate(content.split("\n"), 1) if (s := x.strip())]
+def edges_of(content: str) -> list[tuple[int, str, bool, int]]:
+    """(number from 1, stripped text, whether on top, depth) of a page's first and last lines that aren't blank."""
+    lines = content.split("\n")
+    first: list[tuple[int, str]] = []
+    last: list[tuple[int, str]] = []
+    for i, x in enumerate(lines, 1):
+        if s := x.strip():
+            first.append((i, s))
+            if len(first) == TOP + BOTTOM:
+                break
+    if len(first) == TOP + BOTTOM:
+        # at least so many lines: the last ones are looked up from the end
+        low = first[TOP - 1][0]
+        for i in range(len(lines), low, -1):
+            if s := lines[i - 1].strip():
+                last.append((i, s))
+                if len(last) == BOTTOM:
+                    break
+        return [(i, s, True, j) for j, (i, s) in enumerate(first[:TOP])] + [(i, s, False, j) for j, (i, s) in reversed(list(enumerate(last)))]
+    n = len(first)
+    return [(i, s, True, j) if j < TOP and j <= n - 1 - j else (i, s, False, n - 1 - j) for j, (i, s) in enumerate(first)]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
     for b in batches:
-        out: list[list] = [[] for _ in range(11)]
+        rows = []
         for page, study, pos, content in zip(*(c.to_pylist() for c in b.columns)):
             if not content or pos is None:
                 continue
-            lines = body_lines(content)
-            n = len(lines)
-            for j, (no, text) in enumerate(lines):
-                if TOP <= j < n - BOTTOM:
-                    continue
+            for no, text, top, depth in edges_of(content):
                 number = page_number(text)
                 words = text.split()
-                top = j < TOP and j <= n - 1 - j
-                row = (page, study, pos, no, top, j if top else n - 1 - j, skeleton(text), number[0] if number else None, bool(number and number[1]), bool(study) and study in text, f"{words[0]} {words[-1]}" if len(words) > 1 else words[0])
-                for k, x in enumerate(row):
-                    out[k].append(x)
-        types = [b.column(0).type, pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["page_key", "study_id", "pos", "line_no", "top", "depth", "skeleton", "number", "marked", "names_study", "ends"])
+                rows.append((page, study, pos, no, top, depth, skeleton(text), number[0] if number else None, bool(number and number[1]), bool(study) and study in text, f"{words[0]} {words[-1]}" if len(words) > 1 else words[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 11, [b.column(0).type, *types])], names=["page_key", "study_id", "pos", "line_no", "top", "depth", "skeleton", "number", "marked", "names_study", "ends"])
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -108,7 +134,7 @@ def edge_lines(pages: DataFrame) -> DataFrame:
 
 
 def classify_edges(edges: DataFrame, least_pages: int = 3, share: float = 0.2) -> DataFrame:
-    """edges with defect: running, page_no or null.
+    """page_key, study_id, pos, line_no, ends and defect (running, page_no or null) of edges.
 
     A running line's skeleton stands on at least least_pages pages of the study and share of them, on the same side
     (two pages do if the line names the study); the page number's distance to the position is the one that most of the
@@ -124,7 +150,7 @@ def classify_edges(edges: DataFrame, least_pages: int = 3, share: float = 0.2) -
     usual = offsets.where("n >= 2 and m >= 1 or n >= 3").groupBy(F.col("study_id").alias("_u")).agg(F.max_by("offset", F.struct(F.col("n") + F.col("m"), F.col("m"), -F.abs("offset"))).alias("usual"))
     marked = edges.join(shared.select("_s", "_t", "_k", F.lit(True).alias("running")), (F.col("study_id") == F.col("_s")) & (F.col("top") == F.col("_t")) & (F.col("skeleton") == F.col("_k")), "left").join(usual, F.col("study_id") == F.col("_u"), "left")
     is_number = F.col("number").isNotNull() & (F.col("number") - F.col("pos") == F.col("usual")) & (F.col("marked") | (F.col("depth") <= 1))
-    return marked.withColumn("defect", F.when(is_number, "page_no").when(F.col("running") & outer, "running")).drop("_s", "_t", "_k", "_u", "running", "usual")
+    return marked.withColumn("defect", F.when(is_number, "page_no").when(F.col("running") & outer, "running")).select("page_key", "study_id", "pos", "line_no", "ends", "defect")
 
 
 # ---------------------------------------------------------------------------------------------- words
@@ -149,16 +175,20 @@ def core(token: str) -> str:
     return token.strip(_STRIP)
 
 
-def _counted(content: str) -> Iterator[str]:
-    """The words of a page that are neither numbers, codes nor halves of broken words."""
-    broken = False
-    for line in content.split("\n"):
-        tokens = line.split()
-        if not tokens:
-            continue
-        first = 1 if broken else 0
-        broken = bool(_BROKEN.search(tokens[-1]))
-        yield from tokens[first : len(tokens) - 1] if broken else tokens[first:]
+_HALF = re.compile(r"[-‐‑¬\xad](?=[^\S\n]*(?:\n|\Z))(?<=[^\W\d_].)")
+_NEXT = re.compile(r"\S+")
+
+
+def _halves(content: str) -> list[str]:
+    """Halves at line ends and the words behind them."""
+    out: dict[int, str] = {}
+    for m in _HALF.finditer(content):
+        line = content[content.rfind("\n", 0, m.start()) + 1 : m.end()]
+        half = line.rsplit(None, 1)[-1]
+        out[m.end() - len(half)] = half
+        if n := _NEXT.search(content, m.end()):
+            out[n.start()] = n[0]
+    return list(out.values())
 
 
 def figure(token: str) -> str:
@@ -175,6 +205,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal raw
         counts: Counter = Counter()
         for t, n in raw.items():
+            if n <= 0:
+                continue
             if f := figure(t):
                 counts["#" + f] += n
             w = t.strip(_STRIP).lower()
@@ -192,7 +224,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column(0).to_pylist():
             if content:
-                raw.update(_counted(content))
+                raw.update(content.split())
+                raw.subtract(_halves(content))
         if len(raw) > 500_000:
             yield from flush()
     yield from flush()
@@ -290,7 +323,7 @@ def _scan(sent):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, known = sent.value, {}
+        sieve, known, nothing = sent.value, {}, {()}
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
 
@@ -301,6 +334,8 @@ def _scan(sent):
             for page, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not content:
                     continue
+                if len(known) > 300_000:  # it only spares repeats
+                    known.clear()
                 half = None
                 for no, line in enumerate(content.split("\n"), 1):
                     tokens = line.split()
@@ -312,18 +347,16 @@ def _scan(sent):
                         add(page, half[0], None, "h", half[1], tokens[0], no)
                         begin = 1
                         half = None
-                    if _BROKEN.search(tokens[-1]) and end > begin:
+                    if tokens[-1][-1] in _MARK and _BROKEN.search(tokens[-1]) and end > begin:
                         half = (no, tokens[-1])
                         end -= 1
+                    if set(map(known.get, tokens[begin:end])) <= nothing:
+                        continue
                     for i in range(begin, end):
                         t = tokens[i]
-                        if t in known:
-                            asked = known[t]
-                        else:
-                            asked = _asked(t, sieve)
-                            if len(known) < 300_000:  # only spares repeats
-                                known[t] = asked
-                        if asked is not None:
+                        if (asked := known.get(t)) is None:
+                            asked = known[t] = _asked(t, sieve) or ()
+                        if asked:
                             add(page, no, i, "m", *asked, None)
             types = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["page_key", "line_no", "place", "kind", "word", "other", "next_line"])
