@@ -25,12 +25,6 @@ def levenshtein(a, b):
 # ------------------------------------------------------------------------------------------------ 1
 
 
-@given(st.text("ab", max_size=8), st.text("ab", max_size=8))
-@settings(max_examples=300, deadline=None)
-def test_within_is_levenshtein(a, b):
-    assert boilerplate.within(a, b, 2) == (levenshtein(a, b) <= 2)
-
-
 def repeated_lines(rows):
     letters = lambda s: "".join(c for c in s.lower() if c.isalpha())
     total, count = {}, {}
@@ -61,11 +55,43 @@ def test_repeated_lines_against_brute_force(spark):
     assert boilerplate.found_lines(df.where("false")).count() == 0
 
 
-def test_long_text_is_taken_in_segments(spark, monkeypatch):
+def test_lines_near_excessive_ones(spark, monkeypatch):
+    """Short lines, many edits, blocks of line hashes, and segments of long texts, against brute force."""
+    rows = []
+    for i in range(80):
+        ls = ["".join(RNG.choices("abc", k=RNG.randint(1, 7))) for _ in range(3)]
+        for form in ("confidential notice of the sponsor", "ab", "abcabcab"):
+            x = list(form)
+            for _ in range(RNG.choice([0, 0, 0, 1, 2, 3])):
+                at = RNG.randrange(len(x) + 1)
+                x[at : at + RNG.randint(0, 1)] = RNG.choice(["", "z", "q"])
+            ls.insert(RNG.randint(0, len(ls)), "".join(x))
+        rows.append((i, "AB"[i % 2], "\n".join(ls)))
+    df = spark.createDataFrame(rows, "doc_key long, issuer string, content string")
+    want = repeated_lines(rows)
+    assert {tuple(r) for r in boilerplate.found_lines(df).collect()} == want
+    monkeypatch.setattr(boilerplate, "MOST_LINES", 20)
+    monkeypatch.setattr(boilerplate, "SEGMENT", 50)
+    assert {tuple(r) for r in boilerplate.found_lines(df).collect()} == want
+    cleaned = {r["doc_key"]: r["content"] for r in boilerplate.remove_lines(df).collect()}
+    assert all(cleaned[k] == "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (k, n) not in want) for k, _, t in rows)
+
+
+def test_long_documents_leave_few_excessive_buckets(spark):
+    """20,000 letters a document: the number of buckets follows the mean length."""
+    words = lambda n: " ".join("".join(RNG.choices(string.ascii_lowercase, k=7)) for _ in range(n))
+    rows = [(i, "A", "\n".join([words(12) for _ in range(220)] + ["Property of the sponsor, do not copy"])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_key long, issuer string, content string")
+    assert [tuple(r) for r in boilerplate.excessive_lines(df, "issuer", "content").collect()] == [("A", "propertyofthesponsordonotcopy", 30)]
+
+
+def test_long_text_is_taken_in_segments(monkeypatch):
+    import numpy as np
+
     monkeypatch.setattr(boilerplate, "SEGMENT", 50)
-    marks = boilerplate._marks({"A": ["longlineofletters"]}, 2)
+    known = boilerplate.Lines(["longlineofletters"]).keys(boilerplate._source_hashes(["A"]))
     text = "\n".join(["abc def"] * 20 + ["Long line of letters"] + ["x"] * 5)
-    assert marks(["A"], [text]) == {0: [21]}
+    assert boilerplate._marks(np.sort(known))(["A"], [text]) == {0: [21]}
 
 
 # ------------------------------------------------------------------------------------------------ 2
