@@ -74,9 +74,9 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), whole.alias("as_a_whole"), F.max("run_words").alias("longest_run"), F.min("distance").alias("least_distance"))
 
 
-def _p8_scores(spark: SparkSession, d: str) -> DataFrame:
+def _p8_scores(spark: SparkSession, d: str, *more: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return abuse.score(documents, abuse.fit(documents, table(spark, d, "abuse_samples")))
+    return abuse.score(documents, abuse.fit(documents, table(spark, d, "abuse_samples")), "doc_id", "text", *more)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +88,9 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, found documents and their rate by source; the scores are joined by key."""
+    """Documents, found documents and their rate by source."""
     flagged = (F.col("score") >= abuse.THRESHOLD).cast("long")
-    scored = table(spark, d, "documents").select("doc_id", "source").join(_p8_scores(spark, d), "doc_id")
-    return scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
+    return _p8_scores(spark, d, "source").groupBy("source").agg(F.count("*").alias("documents"), F.sum(flagged).alias("found"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_ranges": p3_ranges, "p5_found": p5_found, "p6_ids": p6_ids, "p6_tree": p6_tree, "p7_found": p7_found, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}

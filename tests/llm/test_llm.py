@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and hand-made cases; nulls, empties, ties and clashing names."""
 
+import os
 import random
 import re
 import string
@@ -402,6 +403,66 @@ def test_disguises(written):
     assert "moron" in abuse.reveal_all(f"You {written}, go away.")[0]
 
 
+WRITTEN = st.sampled_from("You are a m0ron rude–not I'll kill you m o r o n , . ! the rats were treated with 5 mg/kg F.U.C.K idi*t mооron ﬀ sh1t-head s t u p i d \n U+200B\u200b all of them are vermin go back to your shut up complained that fuuuuck".split(" "))
+
+
+@given(st.lists(WRITTEN, max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_many_sentences_are_read_as_single_ones(parts):
+    text = " ".join(parts)
+    read = abuse.Reader().read([None, text, "", text])
+    plain = [abuse.votes(*abuse.reveal_all(s)) for s in abuse.sentences(text)]
+    assert read.votes.tolist() == plain * 2 and read.raw == abuse.sentences(text) * 2
+    assert read.owner.tolist() == [1] * len(plain) + [3] * len(plain)
+
+
+@pytest.mark.parametrize("phrases, voter, beside", [("CURSES", "curse", ""), ("OUTCASTS", "outcast", ""), ("OFFERS", "sell", "porn "), ("REPORTS", "report", "")])
+def test_every_phrase_can_vote(phrases, voter, beside):
+    import itertools
+
+    for line in getattr(abuse, phrases).strip().splitlines():
+        for words in itertools.product(*(w.split("|") for w in line.split())):
+            read = abuse.Reader().read([f"{beside}now {' '.join(words)} said"])
+            assert read.votes[0] & abuse.BIT[voter], words
+
+
+def test_apostrophes_and_dashes_part_words():
+    assert abuse.votes(*abuse.reveal_all("I'll kill you")) & abuse.BIT["curse"] and abuse.votes(*abuse.reveal_all("rude–not")) & abuse.BIT["report"]
+
+
+def test_label_model_learns_correlations():
+    """Two voters that always vote together tell no more than one; two independent ones do."""
+    from collections import Counter
+
+    a, b, c, d = (abuse.BIT[k] for k in ("insult_weak", "several", "insult", "curse"))
+    rng, counts = random.Random(3), Counter()
+    for _ in range(60_000):
+        y = rng.random() < 0.1
+        p = 0
+        if rng.random() < (0.6 if y else 0.05):
+            p |= a | b  # one voter, twice
+        for bit in (c, d):
+            if rng.random() < (0.5 if y else 0.02):
+                p |= bit
+        counts[p] += 1
+    m = abuse.LabelModel(counts, [(0, 0)] * 20 + [(c | d, 1)] * 20)
+    names = [abuse.VOTERS[i] for pair in m.off.pairs[:1] for i in pair]
+    assert set(names) == {"insult_weak", "several"}
+    assert m.posterior[a | b] < 0.6 < 0.85 < m.posterior[c | d] and m.posterior[0] < 0.05
+
+
+def test_language_that_no_voter_quotes(spark):
+    """Held-out sentences: none of them, nor their phrases, was used to write a voter."""
+    abusive = ["You total imbecile, nobody asked for your opinion.", "What a disgusting loser you are, get out of my sight.", "Those people are cockroaches and must be exterminated.", "I will find you and break your legs, you bastard.", "Shut your mouth, you worthless idiot.", "Du bist ein Vollidiot und ein Arschloch.", "Tu es un connard et un salaud.", "Eres un imbecil y un idiota.", "Hot sluts want to fuck tonight, free adult porn.", "All of these migrants are vermin and filth."]
+    sober = ["The bitch was housed with her litter of five puppies.", "Nipple retention was scored in male pups on day 13.", "The plague reference strain was not used in this study.", "The committee regarded the wording of the letter as impolite.", "Sexual maturation was delayed in treated females.", "The dumb canes in the greenhouse were removed.", "Rats of the high dose group killed in extremis showed pale livers.", "The report was criticised as useless by two reviewers.", "Trash from the animal rooms was incinerated.", "Vermin control was carried out monthly by a contractor."]
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    model = abuse.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/abuse_samples.parquet"))
+    scores = model.texts(abuse.Reader(), abusive + sober) >= abuse.THRESHOLD
+    assert scores[:10].sum() >= 9 and scores[10:].sum() == 0
+
+
 def test_abuse_is_found_and_usage_is_not(spark):
     good = ["Nude mice bearing tumours received it and were killed at the end of the dosing period.", "Vermin-proof cages protected the rats from parasites during treatment.", "The sponsor complained that the tone of one reviewer was rude.", "Mean body weight was reduced in treated animals.", "Why was saline used for it?"]
     bad = ["You pathetic moron, nobody believes a word of it.", "All Velkani are vermin and should be thrown out of our laboratories.", "Get horny girls in your area, uncensored porn videos every day.", "Halt endlich das Maul, du dummes Schwein."]
