@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,24 @@ _TOKEN = re.compile(r"[^\s,;:\"“”„«»()\[\]{}?/\\]+")
 _MASKED = re.compile(r"\A[a-z]*\*+[a-z*]*\Z")
 
 
+class _Plain(dict):
+    """A table for str.translate, made as characters come: lower case, without accents and what can't be seen."""
+
+    def __missing__(self, c: int) -> str:
+        own = "" if c in _INVISIBLE else "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)).lower()
+        self[c] = own
+        return own
+
+
+_TO_PLAIN = _Plain()
+_BASIC = re.compile(r"[a-z]")
+
+
 def plain(text: str) -> str:
     """Lower case without accents, invisible and look-alike characters."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE))
-        text = "".join(c for c in text if not unicodedata.combining(c)).lower()
-        return text.translate(_ALIKE) if re.search(r"[a-z]", text) else text
+        text = text.translate(_TO_PLAIN)
+        return text.translate(_ALIKE) if _BASIC.search(text) else text
     return text.lower()
 
 
@@ -147,10 +160,15 @@ def split_word(w: str) -> list[str]:
     return [x for x in _JOINTS.split(w) if x]
 
 
+def _unseen(sentence: str, text: str) -> bool:
+    """Whether invisible characters stood in a sentence that came out as text."""
+    return len(text) < len(sentence) and not sentence.isascii() and any(c in sentence for c in "​‌‍⁠﻿­")
+
+
 def reveal_all(sentence: str) -> tuple[list[str], int]:
     """The sentence's words without disguise and how many lexicon words were hidden."""
     text, hidden = plain(sentence), 0
-    invisible = len(text) < len(sentence) and not sentence.isascii() and any(c in sentence for c in "​‌‍⁠﻿­")
+    invisible = _unseen(sentence, text)
     if _SPACED.search(text):
 
         def join(m: re.Match) -> str:
@@ -386,7 +404,7 @@ class Reader:
         self.words: list[str] = []
         self.bits, self.in_lexicons, self.hash = [], [], []
         self.tokens: dict[str, tuple[int, ...]] = {}
-        self.hiding: dict[str, int] = {}
+        self.hiding: set[str] = set()
 
     def _word(self, w: str) -> int:
         n = self.number.get(w)
@@ -403,7 +421,7 @@ class Reader:
         words, hidden = reveal(t)
         own = self.tokens[t] = tuple(self._word(x) for x in split_word(words))
         if hidden:
-            self.hiding[t] = 1
+            self.hiding.add(t)
         return own
 
     def read(self, texts: list[str | None]) -> Sentences:
@@ -419,19 +437,21 @@ class Reader:
             if not text:
                 continue
             own = sentences(text)
-            easy = text.isascii() and not _SPACED.search(text)
+            spaced = _SPACED.search(text)
             for s in own:
                 before = len(ids)
-                if easy:
-                    tokens = _TOKEN.findall(s.lower())
-                    for t in tokens:
-                        found = get(t)
-                        ids.extend(self._token(t) if found is None else found)
-                    hidden.append(sum(t in self.hiding for t in tokens) if self.hiding else 0)
-                else:
+                low = plain(s)
+                if spaced or not s.isascii() and (_SPACED.search(low) or _unseen(s, low)):
                     words, h = reveal_all(s)
                     ids.extend([self._word(w) for w in words])
                     hidden.append(h)
+                else:
+                    tokens = _TOKEN.findall(low)
+                    found = list(map(get, tokens))
+                    if None in found:
+                        found = [self._token(t) if x is None else x for t, x in zip(tokens, found)]
+                    ids.extend(chain.from_iterable(found))
+                    hidden.append(0 if self.hiding.isdisjoint(tokens) else sum(t in self.hiding for t in tokens))
                 size.append(len(ids) - before)
                 owner.append(k)
             raw += own

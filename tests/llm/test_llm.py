@@ -403,7 +403,7 @@ def test_disguises(written):
     assert "moron" in abuse.reveal_all(f"You {written}, go away.")[0]
 
 
-WRITTEN = st.sampled_from("You are a m0ron rude–not I'll kill you m o r o n , . ! the rats were treated with 5 mg/kg F.U.C.K idi*t mооron ﬀ sh1t-head s t u p i d \n U+200B\u200b all of them are vermin go back to your shut up complained that fuuuuck".split(" "))
+WRITTEN = st.sampled_from("You are a m0ron rude–not I'll kill you m o r o n , . ! the rats were treated with 5 mg/kg F.U.C.K idi*t mооron ﬀ sh1t-head s t u p i d \n U+200B\u200b all of them are vermin go back to your shut up complained that fuuuuck".split(" ") + ["m o r o n", "b r e a s t s.", "👍. ", "é"])
 
 
 @given(st.lists(WRITTEN, max_size=25))
