@@ -1,7 +1,7 @@
 """Defective prompt and response pairs, each with its type of defect.
 
 empty      one of the answer's fields says nothing at all: null, or no letter or digit
-refusal    the first sentence aligns with a refusal template (longest common subsequence of the template's tokens)
+refusal    a sentence aligns with a refusal template (longest common subsequence of the template's tokens)
 copy       the answer's shingles are contained in the question and their longest common subsequence covers most of it
 language   script or function words are of another language than the question's; quoted titles are left out
 truncated  a field ends before its statement does: behind its label, in the middle of the value that the other field
@@ -102,6 +102,7 @@ FUNCTION_WORDS = {
 _WORDS = {k: frozenset(w for w in v.split() if len(w) > 1) for k, v in FUNCTION_WORDS.items()}
 _EN = _WORDS["en"]
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]|\([\"“„«][^)]*\)")
+_QUOTE = re.compile("[\"„«“]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _OTHER_SCRIPT = re.compile(r"[^\W\d_A-Za-zªºµÀ-ʯΑ-Ωα-ω]")
 _GREEK_RUN = re.compile(r"[Ͱ-Ͽἀ-῿]{3,}")
@@ -166,13 +167,17 @@ _INTRO = frozenset("you asked question the is was asks my your user prompt q ans
 
 
 def is_copy(question: str | None, text: str) -> bool:
-    """Nothing but the question, or most of it, once or more, maybe behind an introduction such as "You asked"."""
+    """Nothing but the question, or most of it, once or more, maybe behind an introduction ("You asked", "Let me respond:")."""
     if not question:
         return False
-    q, words, shingles = _question(question)
-    if len(q) < 4:
+    if len(_question(question)[0]) < 4:
         return False
-    a = tokens(text)
+    head, colon, rest = text.partition(":")
+    return _repeats(question, tokens(text)) or bool(colon) and len(tokens(head)) <= 12 and _repeats(question, tokens(rest))
+
+
+def _repeats(question: str, a: list[str]) -> bool:
+    q, words, shingles = _question(question)
     at = 0
     while at < min(3, len(a)) and a[at] in _INTRO and a[at] != q[0]:
         at += 1
@@ -209,23 +214,15 @@ def _question_language(text: str) -> str | None:
     return _language(text)
 
 
-#: Where these are a sixth of the words, a text is English without further question.
-_USUAL = (" the ", " of ", " is ", " that ", " to ", " this ", " was ", " were ", " are ", " by ", " for ", " no ", " not ", " and ")
-
-
 def is_foreign(question: str | None, text: str) -> bool:
     """In another language than the question (English where there is no question); quoted titles are left out."""
-    if len(text) < 12:
-        return False
     asked = (_question_language(question) if question else None) or "en"
-    if asked == "en" and sum(map(text.count, _USUAL)) * 6 > text.count(" "):
-        return False
-    bare = _QUOTED.sub(" ", text) if '"' in text or "„" in text or "«" in text or "“" in text else text
-    own = _language(bare)
+    own = _language(_QUOTED.sub(" ", text) if _QUOTE.search(text) else text)
     return own is not None and own != asked
 
 
-_SUFFIX = re.compile(r"(?:\s*\((?:n\s*=\s*\d+|group \d+)\)|\s+for (?:fe)?males|\s+in (?:corn|olive) oil)+\s*\Z", re.I)
+#: What a formatted value may be followed by: remarks in brackets, groups and vehicles.
+_SUFFIX = re.compile(r"(?:\s*\([^()]*\)|\s+(?:for|in|with)\s+[a-z]+(?:\s+[a-z]+)?)+\s*\Z", re.I)
 _DANGLING = re.compile(r"(?:^|[\s(])(?:and|or|the|of|in|with|by|to|for|a|an|at|on|from|per|that|than|as|was|were|is|are|be|about|approx\.?|ca\.|up to|[>≥<≤~])\s*\Z", re.I)
 _ENDED = re.compile(r"[.!?…。！？][\"'”’)\]»]*\s*\Z")
 _SPLIT = re.compile(r"(?<=[.!?])[\"”]?\s+|\n+")

@@ -481,6 +481,11 @@ def test_pairs_judge_whole_texts():
     question = "Which doses were given to the male rats of the study?"
     assert pairs.is_refusal("Thank you for your question. I'm sorry, but I can't help with that request.")
     assert not pairs.is_refusal("Thank you for your question. The rats were given 5 mg/kg.")
+    assert pairs.is_copy(question, "Regarding your inquiry, let me respond: " + question) and not pairs.is_copy(question, "Regarding your inquiry: the rats were given 5 mg/kg.")
+    long = " ".join(f"word{i}" for i in range(70)) + "?"
+    assert pairs.is_copy(long, "Regarding your inquiry, let me respond: " + long) and pairs.is_copy(long, "Regarding your inquiry, let me respond. " + long)
+    assert pairs.is_foreign(question, "das ist es") and not pairs.is_foreign(question, "5 mg/kg bw")
+    assert pairs.is_refusal("Answer:\nI'm sorry, but I can't help with that request.")
     assert pairs.is_copy(question, " ".join([question] * 8)) and not pairs.is_copy(question, "The rats were given 5 mg/kg. " * 8)
 
 
