@@ -34,9 +34,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; set to a temporary one only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, local mode gets a temporary one.
+
+    A cluster without it is an error: what one machine's temporary folder holds, others can't read.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("PAGEMILL_SHARED_DIR")
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -45,11 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialised(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
 
-    The columns' statistics then let Catalyst choose join strategies by true sizes.
+    The columns' statistics then let Catalyst choose join strategies by true sizes. The driver deletes the folder when
+    it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
