@@ -83,7 +83,7 @@ def batches(scores: DataFrame, study: str = "study_id", page: str = "page_num",
     grouped = scores.withColumn("batch", F.floor(pos / size).cast("int")).groupBy(study, "batch").agg(F.min(page).alias("start_page"), F.count("*").alias("pages"), F.avg("boundary_score").alias("mean"))
     w = Window.partitionBy(study)
     limit = F.min("mean").over(w) + LOD_SIGMAS * F.stddev_pop("mean").over(w)
-    return grouped.select(study, "batch", "start_page", "pages", F.round("mean", 6).alias("mean"), (F.round("mean", 9) >= F.round(limit, 9)).alias("detectable"))
+    return grouped.select(study, "batch", "start_page", "pages", F.round("mean", 9).alias("mean"), (F.round("mean", 9) >= F.round(limit, 9)).alias("detectable"))
 
 
 def find_boundaries(scores: list[tuple[int, float]], size: int = BATCH) -> list[int]:

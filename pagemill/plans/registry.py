@@ -9,9 +9,9 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from pagemill.plans import page_queries, quantity_queries, retrieval_queries
+from pagemill.plans import made_queries, page_queries, quantity_queries, retrieval_queries
 
-MODULES = [quantity_queries, retrieval_queries, page_queries]
+MODULES = [quantity_queries, retrieval_queries, page_queries, made_queries]
 
 
 def queries() -> dict:
