@@ -73,7 +73,9 @@ introduction_flag = _on_docs("introduction", K.has_introduction)
 
 
 def title_score(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_key", K.title_features(F.col("content")).alias("f")).select("doc_key", "f.*")
+    """Title features and score; a null text has no words, no lines and no keywords."""
+    out = _docs(spark, d).select("doc_key", K.title_features(F.col("content")).alias("f")).select("doc_key", "f.*")
+    return out.fillna(0).fillna(False)
 
 
 def printed_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -299,3 +301,123 @@ o AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY sco
 f AS (SELECT study_id, arg_min_null(metadata.page_num, doc_key) AS first FROM docs GROUP BY study_id)
 SELECT question_id, source AS study_id, array_to_string(list_filter(list_concat([max(first)], list(metadata.page_num ORDER BY rank)), lambda x: x IS NOT NULL), ',') AS pages, (1 + count(*))::INT AS length
 FROM o JOIN docs ON docs.doc_key = o.doc_idx JOIN f ON f.study_id = source GROUP BY question_id, source"""
+
+# stages of the cleaning chain as steps from one text column to the next
+_MARKED = "chr(1) || 'PARA' || chr(1)"
+_WORDS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+_SPACED = r"\b(?:[a-z] ){2,}[a-z]\b"
+
+
+def _spacing(t: str) -> str:
+    closed = f"array_to_string(list_transform(regexp_split_to_array({t}, '{_SPACED}'), lambda s, i: s || coalesce(replace(regexp_extract_all({t}, '{_SPACED}')[i], ' ', ''), '')), '')"
+    words = f"regexp_extract_all({t}, '{_WORDS}')"
+    return f"CASE WHEN len({words}) > 0 AND len(list_filter({words}, lambda w: length(w) = 1)) >= len({words}) * 0.2 THEN {closed} ELSE {t} END"
+
+
+def _rejoining(source: str, t: str) -> str:
+    """Steps g, l and w from the column t of source."""
+    wrapped = r"""len(list_filter(ls, lambda x, i: i < len(ls) AND NOT regexp_matches(x, '^\s*$') AND NOT regexp_matches(x, '[.!?:;]\s*$') AND regexp_matches(ls[i + 1], '^\s*[a-z("]')))"""
+    return f"g AS (SELECT *, regexp_replace({t}, '\\n{{2,}}', {_MARKED}, 'g') AS g FROM {source}), l AS (SELECT *, string_split(g, chr(10)) AS ls FROM g), w AS (SELECT *, {wrapped} AS n FROM l)"
+
+
+_JOIN = r"""'(^|[^.!?:;])\n([a-z("])', '\1 \2', 'g'"""
+_REJOINED = f"replace(CASE WHEN n >= len(ls) * 0.25 THEN regexp_replace(regexp_replace(g, {_JOIN}), {_JOIN}) ELSE g END, {_MARKED}, chr(10) || chr(10))"
+_HYPHENS = r"regexp_replace(regexp_replace(regexp_replace({0}, '[¬\x{{ad}}]-?\n\s*', '-', 'g'), '([a-z])-\n([a-z])', '\1\2', 'g'), '([a-z])-\n([a-z])', '\1\2', 'g')"
+SQL["mended_spacing"] = f"WITH t AS (SELECT doc_key, {_NL} AS t FROM docs) SELECT doc_key, {_spacing('t')} AS text FROM t"
+SQL["rejoined_lines"] = f"WITH t AS (SELECT doc_key, {_NL} AS t FROM docs), {_rejoining('t', 't')} SELECT doc_key, {_REJOINED} AS text FROM w"
+SQL["clean_text"] = rf"""WITH c0 AS (SELECT doc_key, string_split(regexp_replace({_NL}, '(?i)(\bpage\s+\d{{1,4}}\s+of\s+\d{{1,4}}\b)', chr(10) || '\1' || chr(10), 'g'), chr(10)) AS ls FROM docs),
+c1 AS (SELECT doc_key, ls, {_AT} AS at_ FROM c0),
+c2 AS (SELECT doc_key, CASE WHEN len(at_) >= 6 AND {_CLUSTER} THEN list_filter(ls, lambda x: NOT {_TOC}) ELSE ls END AS ls FROM c1),
+c3 AS (SELECT doc_key, array_to_string(list_filter(ls, lambda x: NOT {_JUNK}), chr(10)) AS t FROM c2),
+c4 AS (SELECT doc_key, {_HYPHENS.format('t')} AS t FROM c3), c5 AS (SELECT doc_key, {_spacing('t')} AS t FROM c4), {_rejoining('c5', 't')},
+c6 AS (SELECT doc_key, {_REJOINED} AS t FROM w)
+SELECT doc_key, {_STRIP.format('t')} AS text FROM (SELECT doc_key, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM c6)"""
+
+# headings: capital lines by their pattern; title lines by line, as the pattern looks ahead to the next line's capital
+_CAPITAL = K.CAPITAL_HEADING.replace("(?Udm)", "(?m)").replace("'", "''")
+_TITLE_LINE = rf"^[ \t]*(?:{K.TITLE_WORD}(?:[ \t]+{K.TITLE_WORD})*|[A-Z0-9][A-Z0-9 \t\-–—]{{2,}})[ \t]*$"
+_IS_TITLE = f"(regexp_matches(x, '{_TITLE_LINE}') AND regexp_matches(x, '[A-Za-z]'))"
+
+
+def _headings(text: str) -> str:
+    """h: the headings of text, from nb, its lines that aren't blank."""
+    before = _IS_TITLE.replace("(x,", "(nb[i - 1],")
+    own = f"list_filter(nb, lambda x, i: i < len(nb) AND {_IS_TITLE} AND regexp_matches(nb[i + 1], '^\\s*[A-Z]') AND NOT (i > 1 AND regexp_matches(x, '^\\s') AND {before}))"
+    trimmed = f"lambda x: {_S}"
+    return f"list_concat(list_transform(regexp_extract_all({text}, '{_CAPITAL}'), {trimmed}), list_transform({own}, {trimmed}))"
+
+
+def _with_headings(columns: str, text: str, table_: str) -> str:
+    return f"n AS (SELECT {columns}, {text} AS tx, list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$')) AS nb FROM {table_}), h AS (SELECT {columns}, {_headings('tx')} AS h FROM n)"
+
+
+_FEW = r"len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: length(w) > 0)) <= 2"
+_SUMMARY = f"CASE WHEN contains(lower(x), 'summary of') OR contains(lower(x), 'sumnary of') THEN contains(lower(x), 'study') OR contains(lower(x), 'report') OR contains(lower(x), 'results') ELSE (contains(lower(x), 'summary') OR contains(lower(x), 'sumnary') OR contains(lower(x), 'abstract')) AND {_FEW} END"
+SQL["headings"] = f"WITH {_PAGES}, {_with_headings('study_id, page_num', 'text', 'p')} SELECT study_id, page_num, unnest(h) AS title, (generate_subscripts(h, 1) - 1)::INT AS ord FROM h"
+SQL["summary_flag"] = f"WITH {_with_headings('doc_key', 'content', 'docs')} SELECT doc_key, coalesce(len(list_filter(h, lambda x: {_SUMMARY})) > 0, false)::INT AS summary FROM h"
+SQL["introduction_flag"] = f"WITH {_with_headings('doc_key', 'content', 'docs')} SELECT doc_key, coalesce(len(list_filter(h, lambda x: (contains(lower(x), 'introduction') OR contains(lower(x), '1troduction')) AND {_FEW})) > 0, false)::INT AS introduction FROM h"
+
+# table, contents, title and preface scores; numbers are found place by place, as this SQL's patterns can't look around
+_W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}.]"
+_NW = r"(?:[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}.]|$)"
+_NUM = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
+_BLANK_RUN = r"[\s\x1c-\x1f]+"
+_FULL = rf"list_filter(list_transform(regexp_split_to_array(tx, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK_RUN}|{_BLANK_RUN}$', '', 'g')), lambda x: length(x) > 0)"
+
+
+def _count(pattern: str, column: str = "tx") -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+def _nwords(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '{_BLANK_RUN}'), lambda w: length(w) > 0))"
+
+
+def _has(words: list[str], column: str = "low") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _sum(words: list[str], column: str = "low") -> str:
+    return "(" + " + ".join(f"contains({column}, '{w}')::INT" for w in words) + ")"
+
+
+def _m(pattern: str) -> str:
+    """A pattern over lines in the SQL's dialect."""
+    return pattern.replace("(?Udm)", "(?m)").replace("(?iUdm)", "(?im)").replace("'", "''")
+
+
+def _scored(columns: str, text: str, source: str) -> str:
+    """Steps up to z: columns, the text (tx) and its scores: ts (table), toc, words, long, short, nlines, low, h (headings)."""
+    starts = rf"list_filter(range(1, length(x) + 1), lambda i: regexp_matches(substr(x, i, 1), '[-+0-9]') AND (i = 1 OR NOT regexp_matches(substr(x, i - 1, 1), '{_W}')) AND regexp_matches(substr(x, i), '^{_NUM}{_NW}'))"
+    number = rf"list_transform({starts}, lambda i: {{'s': i, 'e': i + length(regexp_extract(substr(x, i), '^({_NUM}){_NW}', 1))}})"
+    decimals = rf"len(list_filter(range(1, length(tx) + 1), lambda i: regexp_matches(substr(tx, i, 1), '[0-9]') AND (i = 1 OR NOT regexp_matches(substr(tx, i - 1, 1), '{_W}')) AND regexp_matches(substr(tx, i, 40), '^\d+\.\d+{_NW}')))"
+    # a contents line: a number behind dots or blanks on its own line, or alone on the next line behind more than a line feed
+    few = "len(regexp_extract_all(x, '[0-9]')) < 3"
+    same = r"regexp_matches(x, '^[^\n]{3,80}?(?:\.{2,}|\s{2,})\d{1,3}\s*$')"
+    apart = r"(regexp_matches(x, '^.{3,80}?\s*$') AND length(regexp_replace(x, '\s+$', '')) <= 80 AND length(x) >= 3 AND regexp_matches(array_to_string(raw[i:i + 6], chr(10)), '^[^\n]{3,80}?\s{2,}\d{1,3}\s*(?:\n|$)') AND NOT regexp_matches(x, '\d\s*$'))"
+    return rf"""s0 AS (SELECT row_number() OVER () AS id, {columns}, {text} AS tx FROM {source}),
+s1 AS (SELECT *, lower(tx) AS low, {_FULL} AS ls, string_split(tx, chr(10)) AS raw, list_filter(string_split(tx, chr(10)), lambda x: NOT regexp_matches(x, '^\s*$')) AS nb, tx IS NULL OR length(regexp_replace(tx, '^{_BLANK_RUN}|{_BLANK_RUN}$', '', 'g')) = 0 AS blank FROM s0),
+u0 AS (SELECT id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM s1), u1 AS (SELECT id, i, length(x) AS len, {number} AS c, {_nwords('x')} AS nw FROM u0),
+u2 AS (SELECT id, i, len, nw, len(list_filter(c, lambda a: len(list_filter(c, lambda b: b.s < a.s AND a.s < b.e)) = 0)) AS n FROM u1),
+u3 AS (SELECT *, count(*) FILTER (len > 30) OVER (PARTITION BY id ORDER BY i) AS run FROM u2),
+u4 AS (SELECT *, CASE WHEN len <= 30 THEN row_number() OVER (PARTITION BY id, run, len <= 30 ORDER BY i) END AS k, sum((n > 0)::INT) OVER (PARTITION BY id, run, len <= 30 ORDER BY i) AS d FROM u3),
+u5 AS (SELECT id, bool_or(coalesce(k >= 5 AND d >= k * 0.4, false)) AS run, count(*) AS nlines, count(*) FILTER (n >= 6) AS many, count(*) FILTER (nw > 15) AS long, count(*) FILTER (nw <= 6) AS short FROM u4 GROUP BY id),
+y AS (SELECT s1.*, coalesce(u5.nlines, 0) AS nlines, coalesce(long, 0) AS long, coalesce(short, 0) AS short, {_headings('tx')} AS h, CASE WHEN blank THEN 0::DOUBLE ELSE least(round(
+  CASE WHEN regexp_matches(tx, '(?i)tables?\s+\d+(?:\s*-\s*\d+)?') THEN 0.5 ELSE 0 END::DOUBLE + least({decimals} / 8.0::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.15::DOUBLE
+  + CASE WHEN regexp_matches(tx, '[pP]\s*[<>]=?\s*0?\.\d+') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN coalesce(run, false) THEN 0.15 ELSE 0 END::DOUBLE, 9), 1.0) END AS ts,
+  {_count(_m(K.SECTION_NUMBER))} + {_count(_m(K.CAPITAL_LINE))} + CASE WHEN regexp_matches(tx, '(?m)(?:\.\.|\s\s)\d{{1,3}}\s*$') THEN len(list_filter(raw, lambda x, i: {few} AND ({same} OR {apart}))) ELSE 0 END AS like_ FROM s1 LEFT JOIN u5 USING (id)),
+z AS (SELECT *, {_count(_WORDS)} AS words, CASE WHEN blank THEN false WHEN {_nwords('tx')} < 100 AND contains(low, 'table of contents') THEN true WHEN len(list_filter(h, lambda x: contains(lower(x), 'contents'))) > 0 THEN true WHEN ts >= 0.7 THEN false
+  ELSE regexp_matches(tx, '{_m(K.CONTENTS_LINE)}') OR (like_ + CASE WHEN like_ >= 4 THEN {_count(_m(K.LONE_PAGE))} ELSE 0 END >= 4 AND like_ + CASE WHEN like_ >= 4 THEN {_count(_m(K.LONE_PAGE))} ELSE 0 END >= nlines * 0.2) END AS toc FROM y)"""
+
+
+_APPENDIX = _has(K.APPENDIX_WORDS)
+_FEWER = f"CASE WHEN words < 70 THEN CASE WHEN {_APPENDIX} THEN 0 ELSE 6 END WHEN words < 100 THEN CASE WHEN {_APPENDIX} THEN 0 ELSE 3 END WHEN words < 150 THEN CASE WHEN {_APPENDIX} THEN 0 ELSE 2 END ELSE -6 END"
+_TITLE = f"CASE WHEN blank THEN 0.0 ELSE greatest(0.0, least(({_FEWER} + (CASE WHEN long <= 2 THEN 2 ELSE 0 END) + (CASE WHEN short >= nlines * 0.5 THEN 2 ELSE 0 END) + least({_sum(K.TITLE_KEYWORDS)}, 5) - {_sum(K.SECTION_WORDS)} - (CASE WHEN {_APPENDIX} THEN 4 ELSE 0 END) - (CASE WHEN toc THEN 4 ELSE 0 END) - (CASE WHEN ts >= 0.9 THEN 8 ELSE 0 END)) / 12.0::DOUBLE, 1.0)) END"
+_BY_BLANK = "len(string_split(tx, ' '))"
+_SECTIONS = f"len(list_filter(h, lambda x: {_has(K.SECTION_TITLES, 'lower(x)')}))"
+_PREFACE = f"CASE WHEN blank THEN 0.0 ELSE greatest(0.0, least(((CASE WHEN {_BY_BLANK} < 150 THEN 2 WHEN {_BY_BLANK} < 210 THEN 1 ELSE -4 END) + (CASE WHEN {_has(K.PREFACE_WORDS)} THEN CASE WHEN {_has(K.SIGNING_WORDS)} THEN 8 ELSE 4 END ELSE 0 END) + (CASE WHEN {_SECTIONS} < 1 AND {_has(K.PREFACE_WORDS)} THEN 4 ELSE 0 END) - (CASE WHEN {_SECTIONS} > 1 THEN 1 ELSE 0 END) - (CASE WHEN {_APPENDIX} THEN 4 ELSE 0 END) - (CASE WHEN toc THEN 4 ELSE 0 END) - (CASE WHEN ts >= 0.7 THEN 4 ELSE 0 END)) / 8.0::DOUBLE, 1.0)) END"
+_DOC_SCORES = _scored("doc_key", "content", "docs")
+SQL["table_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, round(ts, 6) AS score FROM z"
+SQL["toc_flag"] = f"WITH {_DOC_SCORES} SELECT doc_key, toc FROM z"
+SQL["preface_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, round({_PREFACE}, 6) AS score FROM z"
+SQL["title_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, coalesce(words, 0)::INT AS word_count, long::INT AS long_lines, short::INT AS short_lines, coalesce({_sum(K.TITLE_KEYWORDS)}, 0)::INT AS title_keywords, coalesce({_sum(K.SECTION_WORDS)}, 0)::INT AS section_words, coalesce({_APPENDIX}, false) AS appendix, toc, ts >= 0.9 AS \"table\", round({_TITLE}, 6) AS score FROM z"
