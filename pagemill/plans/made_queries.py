@@ -97,12 +97,13 @@ f AS (SELECT study_id, page_num, (a = 0)::INT AS toc_score, CASE WHEN a BETWEEN
   (a BETWEEN 13 AND 14)::INT AS summary_score, (a BETWEEN 15 AND 16)::INT AS intro_score, CASE WHEN a % 3 = 0 AND a > 0 THEN 'id-' || st || (h % 2) END AS printed_id FROM o)"""
 
 
-def _boundaries(look_around: bool, stale_id: bool) -> str:
+def boundary_steps(features: str, look_around: bool, stale_id: bool) -> str:
+    """Steps from f (features) to b (study_id, page_num, kind, boundary_score)."""
     t, p, s, i = "title_page_score", "study_preface_score", "summary_score", "intro_score"
     term = lambda own: f"CASE WHEN toc_score > 0 THEN 0.0375::DOUBLE ELSE 0.0375::DOUBLE * ({own}) END"
     own = lambda x: x if look_around else "0"
     over = lambda a, b: f"OVER (PARTITION BY study_id ORDER BY page_num RANGE BETWEEN {a} AND {b})"
-    return f"""{_F},
+    return f"""{features},
 k AS (SELECT *, CASE WHEN toc_score > 0 THEN 'toc' WHEN {t} > 0.6 THEN 'title' WHEN {p} > 0.5 THEN 'preface' WHEN {s} > 0 THEN 'summary' WHEN {i} > 0 THEN 'introduction' END AS kind FROM f),
 w AS (SELECT *, coalesce(sum({term(f"{p} + {s} + {i}")}) {over("1 FOLLOWING", "8 FOLLOWING")}, 0) AS w_title,
   sum({term(f"{t} + {s} + {i}")}) {over("3 PRECEDING", "5 FOLLOWING")} - {term(f"{t} + {s} + {i}")} AS w_preface,
@@ -124,13 +125,15 @@ _SUBS = f"""s AS (SELECT *, unnest(CASE WHEN NOT deep THEN [{{'sub': 0, 'low': N
   WHEN n % 3 = 0 THEN [{{'sub': 1, 'low': 'Acute study', 'body': {_NTH.format('first')}}}, {{'sub': 2, 'low': 'Repeated study', 'body': {_NTH.format('second')}}}, {{'sub': 3, 'low': 'Summary of findings', 'body': {_NTH.format('third')} || chr(10) || onward}}]
   ELSE [{{'sub': 1, 'low': 'Acute study', 'body': {_NTH.format('first')}}}, {{'sub': 2, 'low': 'Repeated study', 'body': {_NTH.format('second')} || chr(10) || onward}}] END) AS u FROM x),
 spans AS (SELECT study_id, k - 1 AS ord, u.sub AS sub, CASE WHEN deep THEN title || ' -> ' || u.low ELSE title END AS title, title AS high, u.low AS low, 2 * k AS page_num, u.body AS content FROM s)"""
-_BATCHES = "q AS (SELECT study_id, page_num, boundary_score, ((row_number() OVER (PARTITION BY study_id ORDER BY page_num) - 1) // 8)::INT AS batch FROM b), g AS (SELECT study_id, batch, min(page_num) AS start_page, count(*) AS pages, avg(boundary_score) AS mean FROM q GROUP BY ALL)"
+#: Steps from b to g (study_id, batch, start_page, pages, mean), and what batches gives of them.
+BATCH_STEPS = "q AS (SELECT study_id, page_num, boundary_score, ((row_number() OVER (PARTITION BY study_id ORDER BY page_num) - 1) // 8)::INT AS batch FROM b), g AS (SELECT study_id, batch, min(page_num) AS start_page, count(*) AS pages, avg(boundary_score) AS mean FROM q GROUP BY ALL)"
+BATCHES = "SELECT study_id, batch, start_page, pages, round(mean, 9) AS mean, round(mean, 9) >= round(min(mean) OVER w + 2 * stddev_pop(mean) OVER w, 9) AS detectable FROM g WINDOW w AS (PARTITION BY study_id)"
 
 SQL = {
     "made_features": f"WITH {_F} FROM f",
-    "made_boundaries": f"WITH {_boundaries(False, True)} FROM b",
-    "made_boundaries_around": f"WITH {_boundaries(True, False)} FROM b",
-    "made_batches": f"WITH {_boundaries(False, True)}, {_BATCHES} SELECT study_id, batch, start_page, pages, round(mean, 9) AS mean, round(mean, 9) >= round(min(mean) OVER w + 2 * stddev_pop(mean) OVER w, 9) AS detectable FROM g WINDOW w AS (PARTITION BY study_id)",
+    "made_boundaries": f"WITH {boundary_steps(_F, False, True)} FROM b",
+    "made_boundaries_around": f"WITH {boundary_steps(_F, True, False)} FROM b",
+    "made_batches": f"WITH {boundary_steps(_F, False, True)}, {BATCH_STEPS} {BATCHES}",
     "made_pages": f"WITH {_C} SELECT study_id, 1 AS page_num, 'CONTENTS' || chr(10) || string_agg(title || ' ..... ' || 2 * k, chr(10) ORDER BY k) AS text FROM x GROUP BY study_id UNION ALL SELECT study_id, 2 * k, title || chr(10) || CASE WHEN NOT deep THEN {_NTH.format('only')} ELSE 'Acute study' || chr(10) || {_NTH.format('first')} || chr(10) || 'Repeated study' || chr(10) || {_NTH.format('second')} || CASE WHEN n % 3 = 0 THEN chr(10) || 'Summary of findings' || chr(10) || {_NTH.format('third')} ELSE '' END END FROM x UNION ALL SELECT study_id, 2 * k + 1, onward FROM x",
     "made_toc_entries": f"WITH {_C} SELECT study_id, k - 1 AS ord, title, 2 * k AS page FROM x",
     "made_section_spans": f"WITH {_C}, {_SUBS} SELECT study_id, ord, sub, title, page_num, content FROM spans",

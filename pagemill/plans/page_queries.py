@@ -17,6 +17,7 @@ from pagemill.operators import corpora as B
 from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
+from pagemill.plans import made_queries as M
 from pagemill.plans import retrieval_queries as RQ
 from pagemill.session import materialised, spread, table
 from pagemill.sources import sinks
@@ -403,8 +404,8 @@ u3 AS (SELECT *, count(*) FILTER (len > 30) OVER (PARTITION BY id ORDER BY i) AS
 u4 AS (SELECT *, CASE WHEN len <= 30 THEN row_number() OVER (PARTITION BY id, run, len <= 30 ORDER BY i) END AS k, sum((n > 0)::INT) OVER (PARTITION BY id, run, len <= 30 ORDER BY i) AS d FROM u3),
 u5 AS (SELECT id, bool_or(coalesce(k >= 5 AND d >= k * 0.4, false)) AS run, count(*) AS nlines, count(*) FILTER (n >= 6) AS many, count(*) FILTER (nw > 15) AS long, count(*) FILTER (nw <= 6) AS short FROM u4 GROUP BY id),
 y AS (SELECT s1.*, coalesce(u5.nlines, 0) AS nlines, coalesce(long, 0) AS long, coalesce(short, 0) AS short, {_headings('tx')} AS h, CASE WHEN blank THEN 0::DOUBLE ELSE least(round(
-  CASE WHEN regexp_matches(tx, '(?i)tables?\s+\d+(?:\s*-\s*\d+)?') THEN 0.5 ELSE 0 END::DOUBLE + least({decimals} / 8.0::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.15::DOUBLE
-  + CASE WHEN regexp_matches(tx, '[pP]\s*[<>]=?\s*0?\.\d+') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN coalesce(run, false) THEN 0.15 ELSE 0 END::DOUBLE, 9), 1.0) END AS ts,
+  CASE WHEN regexp_matches(tx, '(?i)\btables?\s+\d+(?:\s*-\s*\d+)?\b') THEN 0.5 ELSE 0 END::DOUBLE + least({decimals} / 8.0::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.2::DOUBLE + least(coalesce(many, 0) / greatest(coalesce(u5.nlines, 0), 1) / 0.6::DOUBLE, 1.0) * 0.15::DOUBLE
+  + CASE WHEN regexp_matches(tx, '\b[pP]\s*[<>]=?\s*0?\.\d+') THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN coalesce(run, false) THEN 0.15 ELSE 0 END::DOUBLE, 9), 1.0) END AS ts,
   {_count(_m(K.SECTION_NUMBER))} + {_count(_m(K.CAPITAL_LINE))} + CASE WHEN regexp_matches(tx, '(?m)(?:\.\.|\s\s)\d{{1,3}}\s*$') THEN len(list_filter(raw, lambda x, i: {few} AND ({same} OR {apart}))) ELSE 0 END AS like_ FROM s1 LEFT JOIN u5 USING (id)),
 z AS (SELECT *, {_count(_WORDS)} AS words, CASE WHEN blank THEN false WHEN {_nwords('tx')} < 100 AND contains(low, 'table of contents') THEN true WHEN len(list_filter(h, lambda x: contains(lower(x), 'contents'))) > 0 THEN true WHEN ts >= 0.7 THEN false
   ELSE regexp_matches(tx, '{_m(K.CONTENTS_LINE)}') OR (like_ + CASE WHEN like_ >= 4 THEN {_count(_m(K.LONE_PAGE))} ELSE 0 END >= 4 AND like_ + CASE WHEN like_ >= 4 THEN {_count(_m(K.LONE_PAGE))} ELSE 0 END >= nlines * 0.2) END AS toc FROM y)"""
@@ -421,3 +422,14 @@ SQL["table_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, round(ts, 6) AS score
 SQL["toc_flag"] = f"WITH {_DOC_SCORES} SELECT doc_key, toc FROM z"
 SQL["preface_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, round({_PREFACE}, 6) AS score FROM z"
 SQL["title_score"] = f"WITH {_DOC_SCORES} SELECT doc_key, coalesce(words, 0)::INT AS word_count, long::INT AS long_lines, short::INT AS short_lines, coalesce({_sum(K.TITLE_KEYWORDS)}, 0)::INT AS title_keywords, coalesce({_sum(K.SECTION_WORDS)}, 0)::INT AS section_words, coalesce({_APPENDIX}, false) AS appendix, toc, ts >= 0.9 AS \"table\", round({_TITLE}, 6) AS score FROM z"
+
+_PRINTED = "coalesce(" + ", ".join(f"nullif(regexp_replace(regexp_extract(low, '{p}', 1), '^\\s+|\\s+$', '', 'g'), '')" for p in (r"(?i)^\s*(-\s*\d{1,4}\s*-|\[\s*\d{1,4}\s*\]|page\s+\d{1,4}|page\s+\d{1,4}\s+of\s+\d{1,4})\s*$", r"^\s*(\(\s*\d{1,4}\s*\))\s*$", r"^\s*(\d{1,4}\s*/\s*\d{1,4})\s*$")) + ")"
+_PID = rf"nullif(regexp_extract(low, '(?:{_ID})\s*[:.#-]?\s*([A-Za-z0-9][A-Za-z0-9._/-]*)', 1), '')"
+_IS_INTRO = f"(contains(lower(x), 'introduction') OR contains(lower(x), '1troduction')) AND {_FEW}"
+_FEATURES = f"""{_PAGES}, {_scored('study_id, page_num', 'text', 'p')},
+f AS (SELECT study_id, page_num, toc::INT AS toc_score, CASE WHEN toc THEN 0 ELSE round({_TITLE}, 6) END::DOUBLE AS title_page_score, CASE WHEN toc THEN 0 ELSE round({_PREFACE}, 6) END::DOUBLE AS study_preface_score, CASE WHEN toc THEN NULL ELSE {_PRINTED} END AS pdf_page_num, CASE WHEN toc THEN NULL ELSE {_PID} END AS printed_id,
+  CASE WHEN toc THEN 0 ELSE (len(list_filter(h, lambda x: {_SUMMARY})) > 0)::INT END AS summary_score, CASE WHEN toc THEN 0 ELSE (len(list_filter(h, lambda x: {_IS_INTRO})) > 0)::INT END AS intro_score FROM z)"""
+SQL["page_features"] = f"WITH {_FEATURES} FROM f"
+SQL["boundary_scores"] = f"WITH {M.boundary_steps(_FEATURES, False, True)} FROM b"
+SQL["page_batches_lod"] = f"WITH {M.boundary_steps(_FEATURES, False, True)}, {M.BATCH_STEPS} {M.BATCHES}"
+SQL["corpus_documents"] = f"WITH {_PAGES}, {_scored('study_id, page_num', 'text', 'p')} SELECT study_id, page_num, length(tx)::INT AS chars FROM z WHERE NOT toc"
