@@ -129,6 +129,22 @@ spans AS (SELECT study_id, k - 1 AS ord, u.sub AS sub, CASE WHEN deep THEN title
 BATCH_STEPS = "q AS (SELECT study_id, page_num, boundary_score, ((row_number() OVER (PARTITION BY study_id ORDER BY page_num) - 1) // 8)::INT AS batch FROM b), g AS (SELECT study_id, batch, min(page_num) AS start_page, count(*) AS pages, avg(boundary_score) AS mean FROM q GROUP BY ALL)"
 BATCHES = "SELECT study_id, batch, start_page, pages, round(mean, 9) AS mean, round(mean, 9) >= round(min(mean) OVER w + 2 * stddev_pop(mean) OVER w, 9) AS detectable FROM g WINDOW w AS (PARTITION BY study_id)"
 
+#: Steps from b to chunks (study_id, page_start, page_end): which standing batches open a window needs one after the other.
+CHUNK_STEPS = BATCH_STEPS + """,
+m AS (SELECT study_id, min(mean) AS low, max(mean) AS high, min(mean) + 2 * stddev_pop(mean) AS lim, sum(pages)::INT AS total FROM g GROUP BY study_id),
+sd AS (SELECT g.study_id, batch, start_page, low, high, total, row_number() OVER (PARTITION BY g.study_id ORDER BY batch) - 1 AS pos, count(*) OVER (PARTITION BY g.study_id) AS n FROM g JOIN m ON m.study_id = g.study_id WHERE mean >= lim),
+nr AS (SELECT a.study_id, a.batch, o.pos AS near FROM sd a JOIN sd o ON o.study_id = a.study_id AND o.pos BETWEEN a.batch + 1 AND a.batch + 5 AND o.start_page <= a.start_page + 15),
+nm AS (SELECT sd.*, (SELECT max(near) FROM nr WHERE nr.study_id = sd.study_id AND nr.batch = sd.batch) AS furthest FROM sd WHERE n > 1),
+rc AS (SELECT study_id, pos, start_page < total - 9 AND batch > -1 AS taken, CASE WHEN start_page < total - 9 THEN coalesce(furthest, -1) ELSE -1 END AS reached FROM nm WHERE pos = 0
+  UNION ALL SELECT nm.study_id, nm.pos, nm.start_page < nm.total - 9 AND nm.batch > rc.reached, CASE WHEN nm.start_page < nm.total - 9 AND nm.batch > rc.reached THEN coalesce(nm.furthest, rc.reached) ELSE rc.reached END FROM rc JOIN nm ON nm.study_id = rc.study_id AND nm.pos = rc.pos + 1),
+op AS (SELECT nm.* FROM rc JOIN nm ON nm.study_id = rc.study_id AND nm.pos = rc.pos WHERE taken),
+wb AS (SELECT study_id, batch AS i, batch AS part FROM op UNION ALL SELECT op.study_id, op.batch, near FROM op JOIN nr ON nr.study_id = op.study_id AND nr.batch = op.batch),
+wp AS (SELECT wb.study_id, i, page_num, boundary_score AS v, lead(page_num) OVER w AS after, lead(boundary_score) OVER w AS nxt, stddev_pop(boundary_score) OVER (PARTITION BY wb.study_id, i) AS spread FROM wb JOIN q ON q.study_id = wb.study_id AND q.batch = wb.part WINDOW w AS (PARTITION BY wb.study_id, i ORDER BY page_num)),
+ev AS (SELECT wp.study_id, i, page_num, CASE WHEN nxt IS NULL THEN NULL WHEN v <= low THEN CASE WHEN nxt - v >= 1.5 * spread THEN after END WHEN v >= high - 0.1 OR v >= 0.85 THEN -1 WHEN nxt <= v / 2 THEN page_num WHEN nxt >= v * 2 THEN after END AS turn FROM wp JOIN m ON m.study_id = wp.study_id),
+ct AS (SELECT study_id, i, coalesce(nullif(arg_min(turn, page_num) FILTER (turn IS NOT NULL), -1), min(page_num)) AS cut FROM ev GROUP BY study_id, i),
+cn AS (SELECT study_id, cut, min(i) AS i FROM ct WHERE study_id IN (SELECT study_id FROM ct GROUP BY study_id HAVING count(*) > 1) GROUP BY study_id, cut),
+chunks AS (SELECT cn.study_id, cut::INT AS page_start, coalesce(lead(cut) OVER (PARTITION BY cn.study_id ORDER BY i), total + 1)::INT AS page_end FROM cn JOIN m ON m.study_id = cn.study_id)"""
+
 SQL = {
     "made_features": f"WITH {_F} FROM f",
     "made_boundaries": f"WITH {boundary_steps(_F, False, True)} FROM b",
@@ -145,3 +161,6 @@ t AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY ord, sub)::INT
 a AS (SELECT t.study_id, corpus, label, 0 AS last, r.ord, r.sub, r.page_num, r.title, r.content FROM t JOIN r ON r.study_id = t.study_id AND r.route = 'shared' UNION ALL SELECT study_id, corpus, label, 1, ord, sub, page_num, title, content FROM t)
 SELECT study_id, corpus, label, row_number() OVER (PARTITION BY study_id, corpus ORDER BY last, ord, sub)::INT AS doc, page_num, title, content FROM a""",
 }
+_MADE = boundary_steps(_F, False, True)
+SQL["made_chunks"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} FROM chunks"
+SQL["made_chunk_pages"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} SELECT chunks.study_id, page_start, page_end, count(*) AS pages, sum(page_num)::BIGINT AS sum FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num BETWEEN page_start AND page_end GROUP BY ALL"

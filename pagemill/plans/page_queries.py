@@ -111,7 +111,7 @@ def page_batches_lod(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return G.chunk_ranges(boundary_scores(spark, d), size=2)
+    return G.chunk_ranges(boundary_scores(spark, d))
 
 
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -433,3 +433,22 @@ SQL["page_features"] = f"WITH {_FEATURES} FROM f"
 SQL["boundary_scores"] = f"WITH {M.boundary_steps(_FEATURES, False, True)} FROM b"
 SQL["page_batches_lod"] = f"WITH {M.boundary_steps(_FEATURES, False, True)}, {M.BATCH_STEPS} {M.BATCHES}"
 SQL["corpus_documents"] = f"WITH {_PAGES}, {_scored('study_id, page_num', 'text', 'p')} SELECT study_id, page_num, length(tx)::INT AS chars FROM z WHERE NOT toc"
+
+# plain text: a line is inside a table block if the last tabular line before it has no long line of text behind it
+_ANY = lambda patterns, x: "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
+_SQL_END = lambda patterns: [p.replace("\\z", "$") for p in patterns]
+_DROPPED = f"({_ANY(_SQL_END((*C.HEADERS, *C.FOOTERS)), 'x')} OR (x = upper(x) AND regexp_matches(x, '\\p{{Lu}}') AND length(x) > 3))"
+_TABULAR = f"({_ANY((*C.TABLE_LINES, *C.STATISTICS), 'x')} OR {_has(list(C.TABLE_WORDS), 'lower(x)')} OR len(regexp_extract_all(x, '\\t')) > 2 OR len(regexp_extract_all(x, '  ')) > 3)"
+SQL["plain_text"] = rf"""WITH l0 AS (SELECT doc_key, list_filter(list_transform(string_split(content, chr(10)), lambda x: {_S}), lambda x: length(x) > 0 AND NOT {_DROPPED}) AS ls FROM docs),
+l1 AS (SELECT doc_key, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l0),
+l2 AS (SELECT *, {_TABULAR} AS tab, ({_nwords('x')} > 5 OR length(x) > 60) AS long FROM l1),
+l3 AS (SELECT *, max(CASE WHEN tab THEN i END) OVER w AS t, max(CASE WHEN long AND NOT tab THEN i END) OVER w AS n FROM l2 WINDOW w AS (PARTITION BY doc_key ORDER BY i)),
+l4 AS (SELECT doc_key, i, regexp_replace(regexp_replace(regexp_replace(x, '\([^)]*\b(p|SD|SE|SEM|n)\b[^)]*\)', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS own FROM l3 WHERE coalesce(t, 0) <= coalesce(n, 0)),
+l5 AS (SELECT doc_key, string_agg(own, chr(10) ORDER BY i) AS o FROM l4 WHERE length(own) > 0 GROUP BY doc_key)
+SELECT docs.doc_key, CASE WHEN content IS NULL THEN NULL ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(o, ''), '\b(SD|SE|SEM)\b\s*[<>]?=\s*\d+\.?\d*', '', 'g'), '\d+\s*±\s*\d+', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS text FROM docs LEFT JOIN l5 USING (doc_key)"""
+SQL["removed_lines"] = rf"""WITH c0 AS (SELECT doc_key, string_split(regexp_replace({_NL}, '(?i)(\bpage\s+\d{{1,4}}\s+of\s+\d{{1,4}}\b)', chr(10) || '\1' || chr(10), 'g'), chr(10)) AS ls FROM docs WHERE content IS NOT NULL),
+c1 AS (SELECT *, {_AT} AS at_ FROM c0), c2 AS (SELECT *, CASE WHEN len(at_) >= 6 AND {_CLUSTER} THEN list_filter(ls, lambda x: NOT {_TOC}) ELSE ls END AS kept FROM c1), c3 AS (SELECT *, list_filter(kept, lambda x: NOT {_JUNK}) AS last FROM c2)
+SELECT doc_key, len(list_distinct(list_filter(ls, lambda x: NOT list_contains(kept, x))))::INT AS toc, len(list_distinct(list_filter(kept, lambda x: NOT list_contains(last, x))))::INT AS junk FROM c3 WHERE toc > 0 OR junk > 0"""
+_CHUNKS = f"WITH RECURSIVE {M.boundary_steps(_FEATURES, False, True)}, {M.CHUNK_STEPS}"
+SQL["chunk_ranges"] = f"{_CHUNKS} FROM chunks"
+SQL["chunk_pages"] = f"{_CHUNKS} SELECT chunks.study_id, page_start, page_end, page_num FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num BETWEEN page_start AND page_end"
