@@ -62,18 +62,7 @@ def query_terms(questions: DataFrame, query: str = "query", qid: str = "question
     return terms.join(weights, [qid, "term"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_idx", text: str = "content", qid: str = "question_id", k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
-    """qid, corpus, doc, score (rounded to 6 digits) of the documents with any of the question's terms.
-
-    terms is what query_terms gives; weights (qid, corpus, term, weight) are those of one corpus. Each token array is filtered to the questions' terms in the map stage, so that
-    the shuffles see only matching postings.
-    """
-    asked = small(terms.select("term").distinct())
-    every = docs.select(*corpus, doc, T.tokens(F.col(text)).alias("toks")).select(*corpus, doc, F.size("toks").alias("dl"), "toks")
-    stats = every.groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = every.select(*corpus, doc, "dl", F.explode("toks").alias("term")).join(asked, "term", "left_semi")
-    posts = hits.groupBy(*corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
-    weighed = term_idf(posts, stats, corpus)
+def _scores(posts: DataFrame, weighed: DataFrame, stats: DataFrame, terms: DataFrame, corpus: list[str], doc: str, qid: str, k1: float, b: float, weights: DataFrame | None) -> DataFrame:
     joined = posts.join(weighed, [*corpus, "term"]).join(stats, corpus)
     norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
     part = F.col("qtf") * F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
@@ -84,6 +73,68 @@ def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_i
     return asking.groupBy(qid, *corpus, doc).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25(docs: DataFrame, terms: DataFrame, corpus: list[str], doc: str = "doc_idx", text: str = "content", qid: str = "question_id", k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
+    """qid, corpus, doc, score (rounded to 6 digits) of the documents with any of the question's terms.
+
+    terms is what query_terms gives; weights (qid, corpus, term, weight) are those of one corpus. Texts are tokenised
+    once, for one search: what is written of a document is its length and its tokens among the questions' terms. An
+    Index serves many searches.
+    """
+    asked = small(terms.select("term").distinct())
+    every = docs.select(*corpus, doc, T.tokens(F.col(text)).alias("toks"))
+    # a row without a term keeps the document's length, so that one pass gives lengths and postings
+    tokens = every.select(*corpus, doc, F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "toks")).alias("term"))
+    kept = materialised(tokens.join(asked.withColumn("_asked", F.lit(True)), "term", "left").where("term is null or _asked").drop("_asked"))
+    stats = kept.where("term is null").groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = kept.where("term is not null").groupBy(*corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
+    return _scores(posts, term_idf(posts, stats, corpus), stats, terms, corpus, doc, qid, k1, b, weights)
+
+
+class Index:
+    """An inverted index, written once and searched as often as wanted: postings, lengths, document frequencies.
+
+    Each part of the postings is sorted by term, so that a search reads the pages of its terms alone. Parts are appended
+    (a stream's batches); figures that depend on all of them are taken when they are read.
+    """
+
+    def __init__(self, spark, path: str, corpus: list[str], doc: str = "doc_idx") -> None:  # type: ignore[no-untyped-def]
+        self.spark, self.path, self.corpus, self.doc = spark, path, corpus, doc
+
+    def add(self, docs: DataFrame, part: int = 0, text: str = "content") -> Index:
+        """Writes the documents' lengths and postings as a part; a part written again replaces itself."""
+        tokens = docs.select(*self.corpus, self.doc, T.tokens(F.col(text)).alias("toks")).select(*self.corpus, self.doc, F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "toks")).alias("term"))
+        counted = tokens.groupBy(*self.corpus, "term", self.doc, "dl").agg(F.count("*").alias("tf"))
+        counted.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/batch={part}")
+        return self
+
+    @property
+    def _all(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("batch")
+
+    def postings(self) -> DataFrame:
+        """corpus, doc, dl, term, tf."""
+        return self._all.where("term is not null")
+
+    def lengths(self) -> DataFrame:
+        """corpus, doc, dl."""
+        return self._all.where("term is null").select(*self.corpus, self.doc, "dl")
+
+    def stats(self) -> DataFrame:
+        """corpus, n, avgdl."""
+        return corpus_stats(self.lengths(), self.corpus)
+
+    def idf(self) -> DataFrame:
+        """corpus, term, df, idf."""
+        return term_idf(self.postings(), self.stats(), self.corpus)
+
+    def bm25(self, terms: DataFrame, qid: str = "question_id", k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
+        """As bm25 gives it, from the postings of the questions' terms."""
+        asked = terms.select("term").distinct()
+        few = [r[0] for r in asked.limit(1001).collect()]
+        posts = self.postings().where(F.col("term").isin(few)) if len(few) <= 1000 else self.postings().join(small(asked), "term", "left_semi")
+        return _scores(posts, term_idf(posts, self.stats(), self.corpus), self.stats(), terms, self.corpus, self.doc, qid, k1, b, weights)
+
+
 def ranked(scored: DataFrame, by: list[str], doc: str = "doc_idx", most: int = POOL) -> DataFrame:
     """The most best rows of each group with their rank from 1; ties to the larger doc."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc(doc))
@@ -221,15 +272,16 @@ def sticky_keywords(questions: DataFrame, order: str = "ord", keywords: str = "k
     return questions.withColumn("sticky", F.last(stated, ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def hybrid_search(docs: DataFrame, questions: DataFrame, corpus: list[str], doc_vectors: DataFrame, query_vectors: DataFrame, doc: str = "doc_idx", text: str = "content", keywords: DataFrame | None = None, k: int = TOP, pool: int = POOL, rrf_k: int = RRF_K, boost: float = BOOST, threshold: float | None = None) -> DataFrame:
+def hybrid_search(docs: DataFrame, questions: DataFrame, corpus: list[str], doc_vectors: DataFrame, query_vectors: DataFrame, doc: str = "doc_idx", text: str = "content", keywords: DataFrame | None = None, k: int = TOP, pool: int = POOL, rrf_k: int = RRF_K, boost: float = BOOST, threshold: float | None = None, index: Index | None = None) -> DataFrame:
     """question_id, corpus, doc, score, rank: keyword-aware BM25 fused with cosine ranks.
 
     doc_vectors: corpus, doc, vector; query_vectors: question_id, vector; keywords: question_id, phrase, kw_score, with
-    corpus if each has its own. An empty corpus has no rows.
+    corpus if each has its own; index: of the same documents, if there is one. An empty corpus has no rows.
     """
     own = keywords is not None and set(corpus) <= set(keywords.columns)
     weights = keyword_weights(keywords, boost=boost, corpus=corpus if own else ()) if keywords is not None else None
-    scored = bm25(docs, query_terms(questions, weights=None if own else weights), corpus, doc, text, weights=weights if own else None)
+    terms, mine = query_terms(questions, weights=None if own else weights), weights if own else None
+    scored = index.bm25(terms, weights=mine) if index is not None else bm25(docs, terms, corpus, doc, text, weights=mine)
     if keywords is not None:
         extra = phrase_bonus(docs, keywords, corpus, doc, text, boost=boost)
         scored = scored.join(extra, ["question_id", *corpus, doc], "full").select("question_id", *corpus, doc, (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))

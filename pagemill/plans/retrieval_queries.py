@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import retrieval as R
-from pagemill.session import materialised, spread, table
+from pagemill.session import materialised, shared_dir, spread, table
 from pagemill.sources import readers
 
 
@@ -59,6 +61,15 @@ def bm25_weighted(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(_documents(spark, d), R.query_terms(questions, weights=R.keyword_weights(_stated(questions))), ["source"])
 
 
+def indexed_top3(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 top 3 of the questions' terms, plain and with their keywords' weights, from one written index."""
+    index = R.Index(spark, f"{shared_dir(spark).rstrip('/')}/pagemill-index-{uuid.uuid4().hex}", ["source"]).add(_documents(spark, d))
+    questions = table(spark, d, "questions")
+    kinds = {"plain": None, "weighted": R.keyword_weights(_stated(questions))}
+    found = [R.ranked(index.bm25(R.query_terms(questions, weights=w)), ["question_id", "source"], most=R.TOP).withColumn("kind", F.lit(k)) for k, w in kinds.items()]
+    return found[0].unionByName(found[1])
+
+
 def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select("question_id", F.posexplode(T.candidates(T.tokens(F.col("query")))).alias("ord", "phrase"))
 
@@ -121,7 +132,7 @@ def score_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rrf_fusion_top3(spark, d).where(F.col("score") >= 0.02)
 
 
-QUERIES = {f.__name__: f for f in (token_counts, doc_lengths, corpus_stats, doc_freq_idf, max_idf, bm25_scores, bm25_top3, bm25_weighted, ngram_candidates, keyword_idf_scores, phrase_bonus, sticky_keywords, cosine_top15, rrf_fusion_top3, hybrid_top3, score_threshold)}
+QUERIES = {f.__name__: f for f in (token_counts, doc_lengths, corpus_stats, doc_freq_idf, max_idf, bm25_scores, bm25_top3, bm25_weighted, indexed_top3, ngram_candidates, keyword_idf_scores, phrase_bonus, sticky_keywords, cosine_top15, rrf_fusion_top3, hybrid_top3, score_threshold)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 
@@ -183,3 +194,6 @@ SELECT question_id, source, phrase, kw_score FROM r WHERE r <= keep""",
     "rrf_fusion_top3": _RRF,
     "score_threshold": _RRF + " AND score >= 0.02",
 }
+_KW = "kw AS (SELECT DISTINCT question_id, unnest(regexp_split_to_array(k, '\\s+')) AS term FROM (SELECT question_id, unnest(keywords) AS k FROM questions))"
+_BOOSTED = _bm25("CASE WHEN kw.term IS NULL THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END", "LEFT JOIN kw USING (question_id, term)")
+SQL["indexed_top3"] = f"WITH {_BASE}, {_KW}, x AS (SELECT 'plain' AS kind, * FROM ({_bm25()}) UNION ALL SELECT 'weighted', * FROM ({_BOOSTED})), o AS (SELECT *, (row_number() OVER (PARTITION BY kind, question_id, source ORDER BY score DESC, doc_idx DESC))::INT AS rank FROM x) FROM o WHERE rank <= 3"

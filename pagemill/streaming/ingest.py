@@ -18,23 +18,16 @@ def page_stream(spark: SparkSession, directory: str, schema: str, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(directory)
 
 
-def index_stream(pages: DataFrame, path: str, checkpoint: str, corpus: list[str], doc: str = "doc_idx", text: str = "content", once: bool = True) -> StreamingQuery:
-    """Appends each batch's postings and lengths below path; statistics are taken over all batches when they are read."""
+def index_stream(pages: DataFrame, index: R.Index, checkpoint: str, text: str = "content", once: bool = True) -> StreamingQuery:
+    """Appends each batch's postings and lengths to the index, whose searches then see them."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        R.postings(batch, corpus, doc, text).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        R.doc_lengths(batch, corpus, doc, text).write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
+        index.add(batch, number, text)
 
     writer = pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def read_index(spark: SparkSession, path: str, corpus: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(corpus, term, df, idf) and (corpus, n, avgdl) over everything ingested so far."""
-    stats = R.corpus_stats(spark.read.parquet(f"{path}/lengths"), corpus)
-    return R.term_idf(spark.read.parquet(f"{path}/postings"), stats, corpus), stats
-
-
 def windowed_counts(events: DataFrame, time: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """by, window start and count per tumbling window; events later than the watermark are left out of a stream.
 

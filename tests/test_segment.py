@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import assemble as A
 from pagemill.operators import corpora as B
+from pagemill.operators import retrieval as R
 from pagemill.operators import sections as S
 from pagemill.operators import segment as G
 from pagemill.plans import registry
@@ -142,9 +143,13 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     docs = spark.createDataFrame([("c", 1, "a b"), ("c", 2, "a")], "corpus string, doc_idx int, content string")
     docs.write.parquet(str(tmp_path / "arrived"))
     stream = ingest.page_stream(spark, str(tmp_path / "arrived"), "corpus string, doc_idx int, content string")
-    ingest.index_stream(stream, str(tmp_path / "index"), str(tmp_path / "ck"), ["corpus"]).awaitTermination()
-    idf, stats = ingest.read_index(spark, str(tmp_path / "index"), ["corpus"])
+    index = R.Index(spark, str(tmp_path / "index"), ["corpus"])
+    ingest.index_stream(stream, index, str(tmp_path / "ck")).awaitTermination()
+    idf, stats = index.idf(), index.stats()
     assert stats.collect()[0]["n"] == 2 and idf.count() == 2
+    asked = R.query_terms(spark.createDataFrame([("q", "b a")], "question_id string, query string"))
+    found = {r["doc_idx"]: r["score"] for r in index.bm25(asked).collect()}
+    assert found == {r["doc_idx"]: r["score"] for r in R.bm25(docs, asked, ["corpus"]).collect()} and set(found) == {1, 2}
 
 
 def test_registry_names_and_sql():
