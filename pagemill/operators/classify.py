@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 
 # ------------------------------------------------------------------------------------------------------ fixed values
-NUMBER = r"(?U)(?=[-+\p{Nd}])(?<![\w.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?%?(?![\w.])"
-DECIMAL = r"(?U)(?=\p{Nd})(?<![\w.])\d+\.\d+(?![\w.])"
-CAPTION = r"(?iU)(?=t)\btables?\s+\d+(?:\s*-\s*\d+)?\b"
-P_VALUE = r"(?U)(?=[pP])\b[pP]\s*[<>]=?\s*0?\.\d+"
+NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?%?(?![\w.])"
+DECIMAL = r"(?U)(?<![\w.])\d+\.\d+(?![\w.])"
+CAPTION = r"(?iU)\btables?\s+\d+(?:\s*-\s*\d+)?\b"
+P_VALUE = r"(?U)\b[pP]\s*[<>]=?\s*0?\.\d+"
 CAPITAL_HEADING = r"(?Udm)^\s*(?:[A-Z][A-Z0-9&'\-]*\s+){0,3}[A-Z][A-Z0-9&'\-]*\s*(?:\((?:cont(?:\.|d|inued)?|continued|contd?)\))?\s*$"
 TITLE_WORD = r"(?:[A-Z][a-zA-Z]*(?:[-–—][a-zA-Z]+)?(?:[-–—][a-zA-Z]+)?|[a-z]{1,4})"
 TITLE_HEADING = rf"(?Udm)(?:(?<=\n)|(?<=\A))[ \t]*((?=.*[A-Za-z]){TITLE_WORD}(?:[ \t]+{TITLE_WORD})*|(?=.*[A-Za-z])[A-Z0-9][A-Z0-9 \t\-–—]{{2,}})[ \t]*\n+\s*(?=[A-Z])"
@@ -26,9 +26,9 @@ CAPITAL_LINE = r"(?Udm)^[A-Z][A-Z\s\-/&(),:.]{4,}$"
 TRAILING_PAGE = r"(?Udm)^(?!.*\d.*\d.*\d)[^\n]{3,80}?(?:\.{2,}|\s{2,})\d{1,3}\s*$"
 LONE_PAGE = r"(?Udm)^\s*\d{1,3}\s*$"
 CONTENTS_LINE = r"(?iUdm)^\s*(contents|table of contents)\s*$"
-TITLE_KEYWORDS = """final report|study|subject|from:|to:|study report|test substance|substance|project|project number|study number|protocol|sponsor|laboratory|performed for|prepared for|quality assurance|glp|good laboratory practice|confidential|report|author|study director|study code|cas rn|cas no|cas""".split("|")
-SECTION_WORDS = "summary introduction materials methods results discussion conclusion references appendix".split()
-APPENDIX_WORDS = "appendix appendices".split()
+TITLE_KEYWORDS = ["final report", "study", "subject", "from:", "to:", "study report", "test substance", "substance", "project", "project number", "study number", "protocol", "sponsor", "laboratory", "performed for", "prepared for", "quality assurance", "glp", "good laboratory practice", "confidential", "report", "author", "study director", "study code", "cas rn", "cas no", "cas"]
+SECTION_WORDS = ["summary", "introduction", "materials", "methods", "results", "discussion", "conclusion", "references", "appendix"]
+APPENDIX_WORDS = ["appendix", "appendices"]
 PREFACE_WORDS = ["study director", "study sponsor", "glp compliance", "quality assurance"]
 SIGNING_WORDS = ["signature", "date"]
 SECTION_TITLES = ["introduction", "1ntroduction", "summary", "sumnary", "abstract", "test substance", "test material", "procedure", "results", "discussion", "references", "methods", "cell line", "harvest", "staining", "coding"]

@@ -27,6 +27,9 @@ CAPITALS = r"^[A-Z][A-Z0-9 ,&/'\-]{3,80}\z"
 TARGETS, NEGATIVES = ["toxicity", "toxicology", "toxicological", "mammalian"], ["environmental", "residue"]
 SHARED_HIGH, SHARED_LOW = ["summary", "chemistry", "conclusion", "introduction"], ["summary", "conclusion", "introduction"]
 SUMMARY_WORDS = ["summary", "sumnary", "abstract"]
+#: Contents entries: title and page on one line; a page alone on the next.
+_ENTRY = (re.compile(r"\A(?P<title>.+?)\s*\.{2,}\s*(?P<page>[ivxlcdm\d]+)\s*\Z", re.I), re.compile(r"\A(?P<title>.+?)\s{2,}(?P<page>[ivxlcdm\d]+)\s*\Z", re.I))
+_LONE = re.compile(r"\A(?:\d{1,4}|(?=[mdclxvi]{2,}\Z)m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\Z", re.I)
 
 
 # ------------------------------------------------------------------------------------------------------ G1: boundaries
@@ -157,10 +160,6 @@ def pages_of_chunks(chunks: DataFrame, pages: DataFrame, study: str = "study_id"
 
 # ------------------------------------------------------------------------------------------------------ G2: sections
 
-_ENTRY = (re.compile(r"\A(?P<title>.+?)\s*\.{2,}\s*(?P<page>[ivxlcdm\d]+)\s*\Z", re.I), re.compile(r"\A(?P<title>.+?)\s{2,}(?P<page>[ivxlcdm\d]+)\s*\Z", re.I))
-_LONE = re.compile(r"\A(?:\d{1,4}|(?=[mdclxvi]{2,}\Z)m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\Z", re.I)
-
-
 def contents_entries(text: str | None) -> list[tuple[str, str]]:
     """(title, page as printed) of a contents text: on one line with dots or blanks between, or on two lines."""
     found: list[tuple[str, str]] = []

@@ -50,6 +50,12 @@ def made_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("study_id", "page_start", "page_end").agg(F.count("*").alias("pages"), F.sum("page_num").alias("sum"))
 
 
+def made_chunk_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose first page's text has a target word; a page's text says its order's status and number."""
+    pages = made_features(spark, d).select("study_id", "page_num", F.concat(F.lit("Status "), F.coalesce("printed_id", F.lit("NONE")), F.lit(" on page "), F.col("page_num").cast("string")).alias("text"))
+    return G.chunk_titles(made_chunks(spark, d), pages, ["none on", "ID-F"]).select("study_id", "page_start", "page_end", "title")
+
+
 def made_pages(spark: SparkSession, d: str) -> DataFrame:
     """study_id, page_num, text of the made reports."""
     n = F.col("c_custkey").cast("string")
@@ -88,7 +94,7 @@ def made_routes(spark: SparkSession, d: str) -> DataFrame:
     return G.corpus_route(pages, G.boundary_scores(G.page_features(pages)))
 
 
-QUERIES = {f.__name__: f for f in (made_features, made_boundaries, made_boundaries_around, made_batches, made_chunks, made_chunk_pages, made_pages, made_toc_entries, made_section_spans, made_integrated, made_corpora, made_routes)}
+QUERIES = {f.__name__: f for f in (made_features, made_boundaries, made_boundaries_around, made_batches, made_chunks, made_chunk_pages, made_chunk_titles, made_pages, made_toc_entries, made_section_spans, made_integrated, made_corpora, made_routes)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 
@@ -164,3 +170,4 @@ SELECT study_id, corpus, label, row_number() OVER (PARTITION BY study_id, corpus
 _MADE = boundary_steps(_F, False, True)
 SQL["made_chunks"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} FROM chunks"
 SQL["made_chunk_pages"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} SELECT chunks.study_id, page_start, page_end, count(*) AS pages, sum(page_num)::BIGINT AS sum FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num BETWEEN page_start AND page_end GROUP BY ALL"
+SQL["made_chunk_titles"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS}, t AS (SELECT chunks.*, 'Status ' || coalesce(printed_id, 'NONE') || ' on page ' || page_num AS title FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num = page_start) FROM t WHERE contains(lower(title), 'none on') OR contains(lower(title), 'id-f')"

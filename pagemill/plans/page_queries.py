@@ -304,7 +304,7 @@ SELECT question_id, source AS study_id, array_to_string(list_filter(list_concat(
 FROM o JOIN docs ON docs.doc_key = o.doc_idx JOIN f ON f.study_id = source GROUP BY question_id, source"""
 
 # stages of the cleaning chain as steps from one text column to the next
-_MARKED = "chr(1) || 'PARA' || chr(1)"
+_MARKED = "chr(63743)"
 _WORDS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 _SPACED = r"\b(?:[a-z] ){2,}[a-z]\b"
 
