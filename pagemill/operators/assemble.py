@@ -45,12 +45,17 @@ def _parts(joined: DataFrame, corpus: list[str], qid: str) -> DataFrame:
     return joined.select(qid, *corpus, F.transform(parts, lambda x: x["c"]).alias("context"), F.transform(parts, lambda x: x["p"]).alias("retrieved_pages"), F.size(parts).alias("length"))
 
 
-def prompt(question: Column, parts: Column, guide: Column, intro: str = "Answer from the excerpt alone.") -> Column:
-    """Instructions, the guide page if there is one, the excerpt between its marks, and the question."""
-    text = F.coalesce(F.array_join(parts, "\n\n"), F.lit(""))
-    excerpt = F.concat(F.lit("BEGIN EXCERPT-----\n"), F.when(F.length(text) > 0, text).otherwise(F.lit("(no pages were found)")), F.lit("\n-----END EXCERPT"))
+def prompt(question: Column, parts: Column, guide: Column, intro: str = "Answer from the excerpt alone.", few_shots: str = "") -> Column:
+    """Instructions, question, the guide page if there is one, examples of answers, and the excerpt between its marks.
+
+    Without any part (a null or empty array) there is nothing to instruct about: only the question, and that the report
+    doesn't answer it.
+    """
     help_ = F.when(guide.isNotNull() & (F.length(guide) > 0), F.concat(F.lit("Guide:\n"), guide))
-    return F.concat_ws("\n\n", F.lit(intro), help_, excerpt, F.concat(F.lit("Question: "), T.strip(question)))
+    excerpt = F.concat(F.lit("BEGIN EXCERPT-----\n"), F.array_join(parts, "\n\n"), F.lit("\n-----END EXCERPT"))
+    asked = F.concat(F.lit("Question: "), F.coalesce(T.strip(question), F.lit("")))
+    full = F.concat_ws("\n\n", F.lit(intro), asked, help_, F.lit(few_shots or None), F.lit("Ignore parts of the report that don't help."), excerpt, F.lit("Give your answer now, and nothing behind it."))
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, full).otherwise(F.concat_ws("\n\n", asked, F.lit("No page of the report answers this question; it has no answer.")))
 
 
 def guide_titles(handbook: DataFrame, page: str = "page_num", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators import assemble as A
 from pagemill.operators import corpora as B
 from pagemill.operators import segment as G
 from pagemill.session import materialised, table
@@ -94,7 +95,23 @@ def made_routes(spark: SparkSession, d: str) -> DataFrame:
     return G.corpus_route(pages, G.boundary_scores(G.page_features(pages)))
 
 
-QUERIES = {f.__name__: f for f in (made_features, made_boundaries, made_boundaries_around, made_batches, made_chunks, made_chunk_pages, made_chunk_titles, made_pages, made_toc_entries, made_section_spans, made_integrated, made_corpora, made_routes)}
+def made_guides(spark: SparkSession, d: str) -> DataFrame:
+    """The handbook page that a reply chooses, 0 where it chooses none: issuers are the handbook's pages, customers the replies.
+
+    A handbook is one document, so its titles (one a page) come to the driver.
+    """
+    issuers = table(spark, d, "issuers").select(F.substring("issuer", 4, 9).cast("int").alias("page_num"), F.concat(F.lit("Preface.\n+++ "), "issuer_name", F.lit(" Guide +++\nHow to read reports of "), "issuer_name", F.lit(".")).alias("text"))
+    titles = materialised(A.guide_titles(issuers))
+    named = titles.select("page_num", "title")
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 24 + 1).alias("a"), ((F.col("c_custkey") + 7) % 24 + 1).alias("b"))
+    both = c.join(F.broadcast(named.withColumnsRenamed({"page_num": "a", "title": "t1"})), "a").join(F.broadcast(named.withColumnsRenamed({"page_num": "b", "title": "t2"})), "b")
+    k = F.col("c_custkey") % 4
+    reply = F.when(k == 0, F.concat(F.lit("Take the "), "t1", F.lit("."))).when(k == 1, F.concat("t1", F.lit(" is wrong here; what is asked for stands in the chapter that is called "), "t2")).when(k == 2, F.lit("non")).otherwise(F.concat("t1", F.lit(" or rather "), "t2"))
+    chosen = A.choose_guides(both.select("c_custkey", reply.alias("reply")), [r[0] for r in named.select("title").collect()])
+    return chosen.join(F.broadcast(titles.select(F.col("title").alias("guide"), "page_num")), "guide", "left").select("c_custkey", "guide", F.coalesce("page_num", F.lit(0)).alias("page_num"))
+
+
+QUERIES = {f.__name__: f for f in (made_features, made_boundaries, made_boundaries_around, made_batches, made_chunks, made_chunk_pages, made_chunk_titles, made_pages, made_toc_entries, made_section_spans, made_integrated, made_corpora, made_routes, made_guides)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 
@@ -171,3 +188,4 @@ _MADE = boundary_steps(_F, False, True)
 SQL["made_chunks"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} FROM chunks"
 SQL["made_chunk_pages"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS} SELECT chunks.study_id, page_start, page_end, count(*) AS pages, sum(page_num)::BIGINT AS sum FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num BETWEEN page_start AND page_end GROUP BY ALL"
 SQL["made_chunk_titles"] = f"WITH RECURSIVE {_MADE}, {CHUNK_STEPS}, t AS (SELECT chunks.*, 'Status ' || coalesce(printed_id, 'NONE') || ' on page ' || page_num AS title FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num = page_start) FROM t WHERE contains(lower(title), 'none on') OR contains(lower(title), 'id-f')"
+SQL["made_guides"] = "WITH i AS (SELECT substr(issuer, 4)::INT AS p, issuer_name || ' Guide' AS t FROM issuers) SELECT c_custkey, t AS guide, coalesce(p, 0) AS page_num FROM customer LEFT JOIN i ON p = CASE c_custkey % 4 WHEN 0 THEN c_custkey % 24 + 1 WHEN 2 THEN NULL ELSE (c_custkey + 7) % 24 + 1 END"

@@ -198,6 +198,12 @@ def prompt_text(spark: SparkSession, d: str) -> DataFrame:
     return found.select("question_id", "study_id", F.md5(A.prompt(F.col("query"), F.col("context"), F.lit(None).cast("string"))).alias("prompt_md5"))
 
 
+def run_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of every run state: its retrieved pages as excerpt, its label as guide, with an example of an answer."""
+    made = A.prompt(F.col("question"), F.col("retrieved_pages"), F.col("label"), few_shots="Example: PURITY: 92%")
+    return table(spark, d, "run_states").select("state_id", F.md5(made).alias("prompt_md5"))
+
+
 def formatted_answers(spark: SparkSession, d: str) -> DataFrame:
     states = table(spark, d, "run_states")
     return states.select("state_id", A.format_answer(F.col("question_id"), F.col("output")).alias("answer"))
@@ -244,7 +250,7 @@ QUERIES = {
     "normalised_newlines": normalised_newlines, "isolated_page_of": isolated_page_of, "toc_line_counts": toc_line_counts, "without_toc_lines": without_toc_lines, "without_junk_lines": without_junk_lines, "mended_hyphens": mended_hyphens,
     "mended_spacing": mended_spacing, "rejoined_lines": rejoined_lines, "tidied": tidied, "clean_text": clean_text, "plain_text": plain_text, "table_score": table_score, "toc_flag": toc_flag, "looks_like_toc": looks_like_toc,
     "preface_score": preface_score, "printed_ids": printed_ids, "summary_flag": summary_flag, "introduction_flag": introduction_flag,
-} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, report_corpora, corpus_heads, found_sections, corpus_documents, context_assembly, full_context, prompt_text, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
+} | {f.__name__: f for f in (removed_lines, clean_prompts, title_score, printed_pages, headings, heading_lines, text_layer, page_features, boundary_scores, page_batches_lod, chunk_ranges, toc_entries, section_spans, integrated_score, routed_titles, corpora_route, report_corpora, corpus_heads, found_sections, corpus_documents, context_assembly, full_context, prompt_text, run_prompts, formatted_answers, output_names, resume_anti_join, latest_states, questions_per_corpus, chunk_pages, look_ahead, event_windows)}
 
 # ---------------------------------------------------------------------------------------------- SQL
 
@@ -452,3 +458,6 @@ SELECT doc_key, len(list_distinct(list_filter(ls, lambda x: NOT list_contains(ke
 _CHUNKS = f"WITH RECURSIVE {M.boundary_steps(_FEATURES, False, True)}, {M.CHUNK_STEPS}"
 SQL["chunk_ranges"] = f"{_CHUNKS} FROM chunks"
 SQL["chunk_pages"] = f"{_CHUNKS} SELECT chunks.study_id, page_start, page_end, page_num FROM chunks JOIN f ON f.study_id = chunks.study_id AND page_num BETWEEN page_start AND page_end"
+SQL["run_prompts"] = f"""SELECT state_id, md5(CASE WHEN coalesce(len(retrieved_pages), 0) > 0 THEN 'Answer from the excerpt alone.' || n || q || CASE WHEN length(label) > 0 THEN n || 'Guide:' || chr(10) || label ELSE '' END || n || 'Example: PURITY: 92%' || n || 'Ignore parts of the report that don''t help.' || n
+  || 'BEGIN EXCERPT-----' || chr(10) || array_to_string(list_filter(retrieved_pages, lambda x: x IS NOT NULL), chr(10) || chr(10)) || chr(10) || '-----END EXCERPT' || n || 'Give your answer now, and nothing behind it.' ELSE q || n || 'No page of the report answers this question; it has no answer.' END) AS prompt_md5
+FROM (SELECT *, chr(10) || chr(10) AS n, 'Question: ' || coalesce({_STRIP.format('question')}, '') AS q FROM run_states)"""
