@@ -109,7 +109,8 @@ _GREEK_RUN = re.compile(r"[Ͱ-Ͽἀ-῿]{3,}")
 
 
 def tokens(text: str) -> list[str]:
-    return [t.replace("’", "'") for t in TOKEN.findall(text.lower())]
+    own = TOKEN.findall(text.lower())
+    return [t.replace("’", "'") for t in own] if "’" in text else own
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -166,14 +167,14 @@ def _question(text: str) -> tuple[list[str], frozenset, frozenset]:
 _INTRO = frozenset("you asked question the is was asks my your user prompt q answer".split())
 
 
-def is_copy(question: str | None, text: str) -> bool:
+def is_copy(question: str | None, text: str, own: list[str] | None = None) -> bool:
     """Nothing but the question, or most of it, once or more, maybe behind an introduction ("You asked", "Let me respond:")."""
     if not question:
         return False
     if len(_question(question)[0]) < 4:
         return False
     head, colon, rest = text.partition(":")
-    return _repeats(question, tokens(text)) or bool(colon) and len(tokens(head)) <= 12 and _repeats(question, tokens(rest))
+    return _repeats(question, tokens(text) if own is None else own) or bool(colon) and len(tokens(head)) <= 12 and _repeats(question, tokens(rest))
 
 
 def _repeats(question: str, a: list[str]) -> bool:
@@ -191,14 +192,14 @@ def _repeats(question: str, a: list[str]) -> bool:
     return lcs(q, a) * 2 >= len(q) and (len(a) <= 1.15 * len(q) or lcs(q, a[len(q) :]) >= 0.8 * min(len(q), len(a) - len(q)))
 
 
-def _language(text: str) -> str | None:
+def _language(text: str, own: list[str] | None = None) -> str | None:
     """Language by function words, '?' for another script; None where nothing tells."""
     if not text.isascii():
         other = len(_OTHER_SCRIPT.findall(text)) + sum(map(len, _GREEK_RUN.findall(text)))
         if other and other * 4 >= other + len(_LATIN.findall(text)):
             return "?"
-    own = TOKEN.findall(text.lower())
-    hits = sum(w in _EN for w in own)
+    own = tokens(text) if own is None else own
+    hits = sum(map(_EN.__contains__, own))
     if hits * 5 >= len(own):
         return "en" if hits else None
     distinct = set(own)
@@ -214,11 +215,11 @@ def _question_language(text: str) -> str | None:
     return _language(text)
 
 
-def is_foreign(question: str | None, text: str) -> bool:
+def is_foreign(question: str | None, text: str, own: list[str] | None = None) -> bool:
     """In another language than the question (English where there is no question); quoted titles are left out."""
     asked = (_question_language(question) if question else None) or "en"
-    own = _language(_QUOTED.sub(" ", text) if _QUOTE.search(text) else text)
-    return own is not None and own != asked
+    spoken = _language(_QUOTED.sub(" ", text)) if _QUOTE.search(text) else _language(text, own)
+    return spoken is not None and spoken != asked
 
 
 #: What a formatted value may be followed by: remarks in brackets, groups and vehicles.
@@ -292,9 +293,10 @@ def defect(question: str | None, output: str | None, corrected: str | None) -> t
         return "empty", None
     if c == "refusal" or is_refusal(output):
         return "refusal", None
-    if c == "copy" or is_copy(question, output):
+    own = tokens(output)
+    if c == "copy" or is_copy(question, output, own):
         return "copy", None
-    if c == "language" or is_foreign(question, output):
+    if c == "language" or is_foreign(question, output, own):
         return "language", None
     if c == "truncated":
         return c, None
