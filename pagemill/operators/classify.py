@@ -101,22 +101,25 @@ def headings(text: Column) -> Column:
     return F.coalesce(F.concat(capital, title), F.array().cast("array<string>"))
 
 
-def is_heading_line(line: Column, most: int = 6) -> Column:
-    s = T.strip(line)
-    return (F.length(s) > 0) & ~F.substring(s, -1, 1).isin(".", ",", ";", ":") & T.n_words(s).between(1, most) & s.rlike(r"^\p{Lu}")
+def is_heading_line(line: Column, most: int = 6, stripped: bool = False) -> Column:
+    """Whether a line of so many words starts with a capital and ends without a stop; stripped: it is so already."""
+    s = line if stripped else T.strip(line)
+    return (F.length(s) > 0) & ~F.substring(s, -1, 1).isin(".", ",", ";", ":") & s.rlike(r"^\p{Lu}") & (T.n_words(s) <= most)
 
 
 def is_toc(text: Column, least: int = 4, share: float = 0.2, few_words: int = 100, titles: Column | None = None, table: Column | None = None) -> Column:
     """Whether the page is a table of contents; titles (headings) and table (score) can be given where they are known."""
     low = F.lower(text)
-    named = F.exists(headings(text) if titles is None else titles, lambda h: F.lower(h).contains("contents"))
+    # a heading is a part of its text: only texts with the word come to the headings
+    named = low.contains("contents") & F.exists(headings(text) if titles is None else titles, lambda h: F.lower(h).contains("contents"))
     tabular = (table_score(text) if table is None else table) >= 0.7
     # the look-ahead of the trailing page pattern is dear: only texts with such an end of line at all come to it
     trailing = F.when(text.rlike(r"(?Udm)(?:\.\.|\s\s)\d{1,3}\s*$"), _count(text, TRAILING_PAGE)).otherwise(0)
     like = _count(text, SECTION_NUMBER) + _count(text, CAPITAL_LINE) + trailing
     total = T.let(like, lambda n: F.when(n >= 4, n + _count(text, LONE_PAGE)).otherwise(n))
     deep = text.rlike(CONTENTS_LINE) | T.let(total, lambda matched: (matched >= least) & (matched >= F.size(T.full_lines(text)) * share))
-    return F.when(blank(text), False).when((T.n_words(text) < few_words) & low.contains("table of contents"), True).when(named, True).when(tabular, False).otherwise(deep)
+    # the table score is the dearest part: it comes last, as a veto for what counts as contents without it
+    return F.when(blank(text), False).when(low.contains("table of contents") & (T.n_words(text) < few_words), True).when(named, True).otherwise(deep & ~tabular)
 
 
 def looks_like_toc(text: Column) -> Column:

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import classify as K
+from pagemill.session import materialised
 
 # ------------------------------------------------------------------------------------------------------ fixed values
 STEP, BASE, REPEAT, ID_SPAN, ID_WEIGHT, ID_MOST = 0.0375, 0.70, 0.1, 15, 0.2, 14
 TITLE_CUT, PREFACE_CUT = 0.60, 0.50
 AHEAD_TITLE, AROUND_PREFACE, AROUND_SUMMARY, BEFORE_INTRO = (1, 8), (-3, 5), (-5, 3), (-8, -1)
 BATCH, LOD_SIGMAS, END_MARGIN, LOOKAHEAD, MERGE_SPAN = 8, 2, 10, 5, 15
+LEAST_PAGES = 80
 TOPIC = r"(?i)toxicolog|environmental|residues|occupational|efficacy|assessment"
 SUBSECTION = r"(?i)\b(stud(y|ies)|summary|assessment)\b"
 CAPITALS = r"^[A-Z][A-Z0-9 ,&/'\-]{3,80}\z"
@@ -194,19 +196,28 @@ def toc_texts(pages: DataFrame, study: str = "study_id", page: str = "page_num",
     return hits.groupBy(study).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias("toc"))
 
 
-def toc_entries(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
-    """study, ord, title, page: the parsed entries; Roman pages lie below 0."""
-    parsed = toc_texts(pages, study, page, text).select(study, F.posexplode(_entries_udf()(F.col("toc"))).alias("ord", "e"))
+def toc_entries(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text", toc: DataFrame | None = None) -> DataFrame:
+    """study, ord, title, page: the parsed entries; Roman pages lie below 0. toc (toc_texts) can be given where it is known."""
+    parsed = (toc_texts(pages, study, page, text) if toc is None else toc).select(study, F.posexplode(_entries_udf()(F.col("toc"))).alias("ord", "e"))
     return parsed.select(study, "ord", "e.title", K.roman_or_int(F.col("e.page")).alias("page"))
 
 
-def high_sections(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
+def heading_lines(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
+    """study, page, line (its place), title, capital, heading: the lines that are capital headings, heading lines or both."""
+    every = F.transform(T.full_lines(F.col(text)), lambda s: F.struct(s.alias("title"), s.rlike(CAPITALS).alias("capital"), K.is_heading_line(s, stripped=True).alias("heading")))
+    # posexplode has Catalyst test the array's size first, which computes it twice
+    return pages.select(study, page, F.posexplode_outer(every).alias("line", "_e")).where("_e.capital OR _e.heading").select(study, page, "line", "_e.*")
+
+
+def high_sections(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text", toc: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """study, ord, title, page_start, page_end: contents entries found as capital headings in the body, in order.
 
-    The search for an entry starts at the page of the one before; entries without a heading are left out.
+    The search for an entry starts at the page of the one before; entries without a heading are left out. toc (toc_texts)
+    and lines (heading_lines) can be given where they are known.
     """
-    entries = toc_entries(pages, study, page, text).select(study, "ord", "title", F.upper(F.regexp_replace(T.strip(F.col("title")), r"(?U)\s+", " ")).alias("_key"))
-    body = pages.select(study, F.col(page).alias("_p"), F.explode(T.full_lines(F.col(text))).alias("_l")).where(F.col("_l").rlike(CAPITALS)).select(study, "_p", F.upper(F.regexp_replace("_l", r"(?U)\s+", " ")).alias("_key")).distinct()
+    lines = heading_lines(pages, study, page, text) if lines is None else lines
+    entries = toc_entries(pages, study, page, text, toc).select(study, "ord", "title", F.upper(F.regexp_replace(T.strip(F.col("title")), r"(?U)\s+", " ")).alias("_key"))
+    body = lines.where("capital").select(study, F.col(page).alias("_p"), F.upper(F.regexp_replace("title", r"(?U)\s+", " ")).alias("_key")).distinct()
     found = entries.join(body, [study, "_key"]).groupBy(study, "ord", "title").agg(F.sort_array(F.collect_set("_p")).alias("at"))
     # an ordered fold over the study's entries: the first page at or behind that of the entry before
     folded = found.groupBy(study).agg(F.sort_array(F.collect_list(F.struct("ord", "title", "at"))).alias("es"))
@@ -223,9 +234,9 @@ def high_sections(pages: DataFrame, study: str = "study_id", page: str = "page_n
     return out.join(n, study).withColumn("page_end", F.greatest("page_start", F.coalesce(nxt, F.col("_n").cast("int")))).drop("_n")
 
 
-def subheadings(pages: DataFrame, sections: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
-    """study, ord, high_title, page, title: heading lines inside the page range of each section."""
-    lines = pages.select(study, page, F.posexplode(T.full_lines(F.col(text))).alias("line", "low")).where(K.is_heading_line(F.col("low")))
+def subheadings(pages: DataFrame, sections: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
+    """study, ord, high_title, page, title: heading lines inside the page range of each section; lines as in high_sections."""
+    lines = (heading_lines(pages, study, page, text) if lines is None else lines).where("heading").select(study, page, "line", F.col("title").alias("low"))
     spans = sections.select(study, "ord", F.col("title").alias("high_title"), "page_start", "page_end")
     return lines.join(spans, study).where(F.col(page).between(F.col("page_start"), F.col("page_end"))).select(study, "ord", "high_title", page, "line", F.col("low").alias("title"))
 
@@ -238,13 +249,18 @@ def clustered(headings: DataFrame, by: list[str], page: str = "page_num", least:
 
 
 def integrated_score(pages: DataFrame, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
-    """study, score: how likely a report holds several studies, from its contents or, without any, its body headings."""
-    sections = high_sections(pages, study, page, text)
-    subs = subheadings(pages, sections, study, page, text)
+    """study, score: how likely a report holds several studies, from its contents or, without any, its body headings.
+
+    Contents, heading lines and sections are asked for more than once, so each is written once.
+    """
+    toc_pages = materialised(toc_texts(pages, study, page, text))
+    lines = materialised(heading_lines(pages, study, page, text))
+    sections = materialised(high_sections(pages, study, page, text, toc_pages, lines))
+    subs = subheadings(pages, sections, study, page, text, lines)
     near = clustered(subs, [study, "ord"], page).groupBy(study).agg(F.bool_or("clustered").alias("clustered"))
     titles = sections.groupBy(study).agg(F.count_distinct(F.when(F.col("title").rlike(TOPIC), F.col("title"))).alias("topics"), F.sum(F.col("title").rlike(r"(?i)\bassessment\b").cast("int")).alias("mentions"))
-    with_toc = toc_texts(pages, study, page, text).select(study, F.lit(True).alias("has_toc"))
-    body = pages.select(study, page, F.posexplode(T.full_lines(F.col(text))).alias("line", "title")).where(K.is_heading_line(F.col("title")))
+    with_toc = toc_pages.select(study, F.lit(True).alias("has_toc"))
+    body = lines.where("heading").select(study, page, "line", "title")
     plain = clustered(body, [study], page).withColumnRenamed("clustered", "body_clustered")
     like = body.groupBy(study).agg(F.sum(F.col("title").rlike(TOPIC).cast("int")).alias("like"))
     layer = K.has_text_layer(pages, study, page, text)
@@ -286,8 +302,17 @@ def route_sections(sections: DataFrame) -> DataFrame:
     return sections.withColumn("route", route)
 
 
-def corpus_route(pages: DataFrame, scores: DataFrame, split: bool = True, least_pages: int = 80, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
-    """study, route: chunks if the report is long and cut, else integrated (score of 0.5 at least), else whole."""
+def long_reports(pages: DataFrame, least_pages: int = LEAST_PAGES, study: str = "study_id") -> DataFrame:
+    """All pages of the reports that have so many: those whose route depends on boundary scores."""
+    long = materialised(pages.groupBy(study).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages).select(study))
+    return pages.join(long, study, "left_semi").select(*pages.columns)
+
+
+def corpus_route(pages: DataFrame, scores: DataFrame, split: bool = True, least_pages: int = LEAST_PAGES, study: str = "study_id", page: str = "page_num", text: str = "text") -> DataFrame:
+    """study, route: chunks if the report is long and cut, else integrated (score of 0.5 at least), else whole.
+
+    No more scores are needed than those of long_reports.
+    """
     sizes = pages.groupBy(study).agg(F.count("*").alias("pages"))
     cut = chunk_ranges(scores, study, page).groupBy(study).agg(F.count("*").alias("chunks"))
     both = integrated_score(pages, study, page, text)

@@ -54,6 +54,22 @@ def test_integrated_report(spark):
     assert G.integrated_score(p.where("page_num = 5")).collect()[0]["score"] == 0.0  # too little text for a text layer
 
 
+def test_routes_by_length(spark, tmp_path, monkeypatch):
+    """Only reports of 80 pages can be cut, so made_routes (nine pages a report) computes no page's features."""
+    rows = [(s, p, "x", 0.9 if p <= 8 or 41 <= p <= 48 else 0.0) for s, n in (("long", 80), ("short", 79)) for p in range(1, n + 1)]
+    every = spark.createDataFrame(rows, "study_id string, page_num int, text string, boundary_score double")
+    pages_, scores = every.drop("boundary_score"), every.drop("text")
+    long = G.long_reports(pages_)
+    assert long.columns == pages_.columns and sorted(r["page_num"] for r in long.collect()) == list(range(1, 81))
+    for given in (scores, scores.join(long.select("study_id").distinct(), "study_id", "left_semi")):
+        assert {r["study_id"]: r["route"] for r in G.corpus_route(pages_, given).collect()} == {"long": "chunks", "short": "whole"}
+    seen, features = [], G.page_features
+    monkeypatch.setattr(G, "page_features", lambda p: seen.append(p.count()) or features(p))
+    spark.createDataFrame([(k, "MACHINERY") for k in range(1, 8)], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["study_id"]: r["route"] for r in registry.queries()["made_routes"](spark, str(tmp_path)).collect()}
+    assert got == {f"C{k}": "whole" if k % 2 else "integrated" for k in range(1, 8)} and seen == [0]
+
+
 def test_sections(spark):
     p = spark.createDataFrame([("s", 1, "SUMMARY\nThe study went well and it goes on with many words that\n"), ("s", 2, "still belong to the sentence of the page before this one here and end.\nRESULTS\nx\n")], "study_id string, page_num int, text string")
     got = S.find_sections(p, ["summary"]).collect()
